@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import components, spans
+
+from graphloom.llm import components, encode, leaks, pieces, spans
+from graphloom.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +22,61 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return components.connected_components(components.merge_links(candidates)).select("id", "group_id")
 
 
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.items_of(_table(spark, sf, "markdown"), "markdown", "document_id", "markdown", True).unionByName(
+        pieces.items_of(_table(spark, sf, "chunks"), "chunks", "chunk_id", "content", False)
+    )
+
+
+def _item_key() -> Column:
+    return F.when(F.col("item_table") == "markdown", F.concat_ws("#", "item_key", "section_no")).otherwise(F.col("item_key")).alias("item_key")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents of chunks and sections of markdown with more than 800 tokens."""
+    items = _items(spark, sf)
+    large = pieces.oversized(items).select("item", "section_no")
+    return items.select("item_table", "item_key", "item").join(large, "item").select("item_table", _item_key()).distinct()
+
+
+def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of everything over 800 tokens, with the path of their section."""
+    items = _items(spark, sf)
+    scratch = Scratch(spark, "p5")
+    parts = scratch.cut(pieces.section_paths(pieces.sections(items.where(F.char_length("text") > 1200))))
+    large = parts.where(F.col("words") > pieces.words_within(pieces.MAX_TOKENS))
+    split = pieces.split_sections(items, large.select("item", "section_no", "body", "end", "words"))
+    names = items.select("item_table", "item_key", "item").distinct()
+    given = _table(spark, sf, "chunks").groupBy(F.col("chunk_id").alias("item_key")).agg(F.max("section_path").alias("given")).withColumn("item_table", F.lit("chunks"))
+    out = split.join(names, "item").join(large.select("item", "section_no", "section_path"), ["item", "section_no"]).join(given, ["item_table", "item_key"], "left")
+    path = F.when(F.col("item_table") == "chunks", F.col("given")).otherwise(F.col("section_path"))
+    return out.select("item_table", _item_key(), "item", "piece_no", path.alias("section_path"), "token_count", "content")
+
+
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return encode.encode_texts(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def p7_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of documents and tokens of the corpus."""
+    return encode.count_tokens(p7_ids(spark, sf))
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaked_spans(_table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "eval_items").select("item_id", "prompt"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold at least 14 consecutive words of an evaluation prompt."""
+    return _leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaked evaluation items with the number of documents and the longest stretch."""
+    return leaks.leaked_items(_leaks(spark, sf))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Characters of each document that also stand in others, in spans of at least 300."""
     return spans.shared_lengths(spans.shared_spans(_table(spark, sf, "documents").select("doc_id", "text")))
@@ -26,10 +84,28 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p7_ids": p7_ids,
+    "p7_counts": p7_counts,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
     "p9_found": p9_found,
 }
 
+_WORDS = "len(list_filter(string_split_regex({}, '[ \\t\\r\\n]+'), lambda x: x <> ''))"
+
 SQL: dict[str, str] = {
+    "p5_found": f"""
+        WITH lines AS (
+            SELECT document_id, m, i, string_split(m, chr(10))[i] AS line
+            FROM (SELECT DISTINCT document_id, markdown AS m FROM markdown WHERE markdown IS NOT NULL AND document_id IS NOT NULL) d,
+                unnest(range(1, len(string_split(m, chr(10))) + 1)) AS u(i)),
+        marked AS (SELECT *, regexp_matches(line, '^#{{1,6}} ') AS head FROM lines),
+        numbered AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY document_id, m ORDER BY i) AS n FROM marked)
+        SELECT DISTINCT 'markdown' AS item_table, document_id || '#' || CAST(n AS BIGINT) AS item_key FROM numbered WHERE NOT head
+        GROUP BY document_id, m, n HAVING sum({_WORDS.format("line")}) > 600
+        UNION SELECT DISTINCT 'chunks', chunk_id FROM chunks WHERE content IS NOT NULL AND chunk_id IS NOT NULL AND {_WORDS.format("content")} > 600""",
     "p2_found": """
         WITH RECURSIVE ids AS (SELECT DISTINCT id FROM candidate_entities WHERE id IS NOT NULL),
         said AS (SELECT DISTINCT id AS a, lower(trim(merged_into, chr(32) || chr(9) || chr(13) || chr(10))) AS b FROM candidate_entities),

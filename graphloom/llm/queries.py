@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from graphloom.llm import components, encode, leaks, pieces, spans
+from graphloom.llm import components, encode, leaks, neighbors, pieces, spans
 from graphloom.scratch import Scratch
 
 
@@ -16,6 +16,17 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar vectors of every usable vector."""
+    return neighbors.nearest(neighbors.usable_vectors(_table(spark, sf, "chunk_embeddings")), k=5)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of chunks of which one is among the 5 most similar of the other."""
+    near = p1_nearest(spark, sf)
+    return near.select(F.least("key", "other").alias("chunk_a"), F.greatest("key", "other").alias("chunk_b")).distinct()
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates linked by merged_into, directly or through others, with the least id of their group."""
     candidates = _table(spark, sf, "candidate_entities").select("id", "merged_into")
@@ -83,6 +94,8 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_nearest": p1_nearest,
     "p2_found": p2_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from graphloom.llm import components, encode, leaks, neighbors, pieces, spans
+from graphloom.llm import components, encode, leaks, names, neighbors, pieces, spans
 from graphloom.scratch import Scratch
 
 
@@ -33,6 +33,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return components.connected_components(components.merge_links(candidates)).select("id", "group_id")
 
 
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates whose names are spellings of one thing, with the least id of their set."""
+    return names.name_groups(_table(spark, sf, "candidate_entities").select("id", "name", "entity_type"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of candidates whose names mean the same thing."""
+    return names.name_pairs(p4_groups(spark, sf))
+
+
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.items_of(_table(spark, sf, "markdown"), "markdown", "document_id", "markdown", True).unionByName(
         pieces.items_of(_table(spark, sf, "chunks"), "chunks", "chunk_id", "content", False)
@@ -97,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_nearest": p1_nearest,
     "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p7_ids": p7_ids,

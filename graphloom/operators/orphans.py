@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.scratch import Scratch
+
 #: Size bound of the broadcast filter: 2**23 bits are 1 MB, whatever the number of parent keys.
 MAX_FILTER_BITS = 1 << 23
 HASHES = 4
@@ -86,6 +88,7 @@ def orphan_references(refs: list[Reference], n_bits: int | None = None) -> DataF
     are joined with the exact key states. ``n_bits`` overrides the size of the filter.
     """
     out = None
+    scratch = Scratch(refs[0].child.sparkSession, "orphans") if refs else None
     states: dict[str, DataFrame] = {}
     by_parent: dict[str, list[Reference]] = {}
     for r in refs:
@@ -107,8 +110,9 @@ def orphan_references(refs: list[Reference], n_bits: int | None = None) -> DataF
         first = group[0]
         keys = first.parent.select(key_form(F.col(first.key)).alias("key")).where("key is not null")
         bits = n_bits or _filter_bits(keys.select(F.approx_count_distinct("key")).first()[0])
-        bloom = bloom_words(keys, bits)
-        marked = keyed.withColumn("maybe", might_contain(F.col("ref_key"), bloom.scalar(), bits))
+        bloom = scratch.cut(bloom_words(keys, bits))
+        # both branches read the marked references, so these are written once instead of being made twice
+        marked = scratch.cut(keyed.withColumn("maybe", might_contain(F.col("ref_key"), bloom.scalar(), bits)))
         cols = ("ref_table", "ref_column", "ref_key", "ref_month", "reason")
         sure = marked.where(~F.col("maybe")).withColumn("reason", F.lit("missing")).select(*cols)
         reason = (

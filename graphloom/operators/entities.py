@@ -28,23 +28,29 @@ ORDER = ("document", "chunk_id")
 def phrases(chunks: DataFrame) -> DataFrame:
     """chunk_id, document, pos, phrase: candidate names of each chunk in order, cleaned; null contents have none."""
     found = F.regexp_extract_all("content", F.lit(f"(?U){PHRASE}"), F.lit(0))
-    out = chunks.select("chunk_id", "document", F.posexplode(found).alias("pos", "raw"))
-    joined = F.trim(F.regexp_replace("raw", f"{WS}+", " "))
-    clean = F.trim(F.regexp_replace(F.trim(F.regexp_replace(joined, _LEAD, "")), _TRAIL, ""))
-    return out.select("chunk_id", "document", "pos", clean.alias("phrase")).where("phrase <> ''")
 
+    def clean(raw: Column) -> Column:
+        joined = F.trim(F.regexp_replace(raw, f"{WS}+", " "))
+        return F.trim(F.regexp_replace(F.trim(F.regexp_replace(joined, _LEAD, "")), _TRAIL, ""))
 
-def classify(phrase: Column, ontology: Ontology) -> Column:
-    """Type of a phrase or null. A keyword as last word decides alone; then acronyms, then technologies."""
-    raw = F.element_at(F.split(phrase, " "), -1)
-    bare = F.regexp_replace(raw, "[.,;:]+$", "")
-    last = F.lower(bare)
+    # cleaned inside the array: as a column above the generator it would be computed again in every filter pushed down
+    return chunks.select("chunk_id", "document", F.posexplode(F.transform(found, clean)).alias("pos", "phrase")).where("phrase <> ''")
+
+
+def classify(named: DataFrame, ontology: Ontology, phrase: str = "phrase") -> DataFrame:
+    """Adds ``type`` (or null) of each phrase. A keyword as last word decides alone; then acronyms, then technologies.
+
+    Each part is a column of its own, so that it is computed once a row.
+    """
+    rows = named.withColumn("_raw", F.substring_index(phrase, " ", -1)).withColumn("_bare", F.rtrim("_raw", F.lit(".,;:"))).withColumn("_last", F.lower("_bare"))
+    rows = rows.withColumn("_kind", ontology.type_of(F.col("_last")))
+    raw, kind = F.col("_raw"), F.col("_kind")
     several = F.instr(phrase, " ") > 0
-    acronym = (F.upper(raw) == raw) & (F.lower(raw) != raw) & F.length(raw).between(2, 6)
-    known = ontology.is_technology(F.lower(phrase)) | ontology.is_technology(last)
-    kind = ontology.type_of(last)
+    acronym = F.length(raw).between(2, 6) & (F.upper(raw) == raw) & (F.lower(raw) != raw)
+    known = ontology.is_technology(F.lower(phrase)) | ontology.is_technology(F.col("_last"))
     by_keyword = F.when((kind != "Document") & (several | acronym | known), kind)
-    return F.when(kind.isNotNull(), by_keyword).otherwise(F.coalesce(ontology.domain_type(bare), F.when(known, F.lit("Technology"))))
+    type_ = F.when(kind.isNotNull(), by_keyword).otherwise(F.coalesce(ontology.domain_type(F.col("_bare")), F.when(known, F.lit("Technology"))))
+    return rows.withColumn("type", type_).drop("_raw", "_bare", "_last", "_kind")
 
 
 def topics(chunks: DataFrame) -> DataFrame:
@@ -57,7 +63,7 @@ def topics(chunks: DataFrame) -> DataFrame:
 
 def raw_entities(chunks: DataFrame, ontology: Ontology) -> DataFrame:
     """chunk_id, document, pos, name, type: each (name without case, type) of a chunk once, first spelling."""
-    typed = phrases(chunks).select("chunk_id", "document", "pos", F.col("phrase").alias("name"), classify(F.col("phrase"), ontology).alias("type"))
+    typed = classify(phrases(chunks), ontology).select("chunk_id", "document", "pos", F.col("phrase").alias("name"), "type")
     every = topics(chunks).unionByName(typed.where("type is not null"))
     first = every.groupBy("chunk_id", "document", F.lower("name").alias("k"), "type").agg(F.min(F.struct("pos", "name")).alias("x"))
     return first.select("chunk_id", "document", "x.pos", "x.name", "type")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import occurrences, sentences, strip
@@ -22,16 +22,11 @@ def trigger_spans(sents: DataFrame, ontology: Ontology) -> DataFrame:
 
     The triggers are literals, so sentences without one are dropped before anything is joined.
     """
-    low = F.lower("sentence")
-
-    def spans_of(kind: str, t: str) -> Column:
-        return F.transform(occurrences(F.col("low"), F.lit(t)), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("start"), (s + len(t)).alias("end")))
-
-    each = [spans_of(kind, t) for kind, t in ontology.triggers]
-    with_low = sents.withColumn("low", low).where(F.greatest(*[F.instr("low", t) > 0 for _, t in ontology.triggers], F.lit(False)))
-    return with_low.withColumn("spans", F.flatten(F.array(*each))).select(*_CHUNK, "sentence_no", "low", F.explode("spans").alias("t")).select(
-        *_CHUNK, "sentence_no", "low", "t.kind", "t.start", "t.end"
-    )
+    known = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("words")) for kind, t in ontology.triggers])
+    low = sents.select(*_CHUNK, "sentence_no", F.lower("sentence").alias("low"))
+    hit = low.select("*", F.explode(F.filter(known, lambda t: F.instr(F.col("low"), t["words"]) > 0)).alias("t"))
+    spans = hit.select(*_CHUNK, "sentence_no", "low", "t.kind", "t.words", F.explode(occurrences(F.col("low"), F.col("t.words"))).alias("start"))
+    return spans.select(*_CHUNK, "sentence_no", "low", "kind", "start", (F.col("start") + F.char_length("words")).alias("end"))
 
 
 def positions(sents: DataFrame, found: DataFrame, ents: DataFrame) -> DataFrame:

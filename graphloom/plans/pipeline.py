@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.contracts import conform
 from graphloom.ontology import Ontology
 from graphloom.operators import candidates, chunking, diff, embed, entities, graph, relations
+from graphloom.scratch import Scratch
 from graphloom.sources.files import read_table
 from graphloom.sources.sinks import overwrite, upsert, upsert_graph, write_snapshot
 
@@ -47,7 +48,7 @@ class Pipeline:
     def extraction(self) -> None:
         """Entities, mentions and relationships; chunks without a mention go to the model, where there is one."""
         c = self._read("chunks")
-        raw = entities.raw_entities(c, self.ontology)
+        raw = Scratch(self.spark, "extraction").cut(entities.raw_entities(c, self.ontology))  # read by three consumers
         ents, found = entities.one_per_id(entities.entities(raw)), entities.mentions(raw)
         rels = relations.extract_relationships(c, ents, found, self.ontology)
         if self.model:

@@ -12,6 +12,7 @@ from graphloom.functions.text import WS, label_of, relationship_id, token_count
 from graphloom.ontology import RELATIONSHIP_TYPES, Ontology
 from graphloom.operators import candidates, chunking, diff, embed, entities, graph, relations, retrieval, review
 from graphloom.plans.core import table
+from graphloom.scratch import Scratch
 from graphloom.sources.files import clean_page
 from graphloom.sources.sinks import merged
 
@@ -355,8 +356,9 @@ def r2_triggers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _extracted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c = _folded(spark, sf)
-    raw = entities.raw_entities(c, ONTOLOGY)
+    scratch = Scratch(spark, "extracted")
+    c = scratch.cut(_folded(spark, sf))
+    raw = scratch.cut(entities.raw_entities(c, ONTOLOGY))
     return c, entities.one_per_id(entities.entities(raw)), entities.mentions(raw)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -77,7 +78,9 @@ def html_to_markdown(data: bytes) -> str:
 
         def handle_data(self, text: str) -> None:
             if not self.skip:
-                self.out.append(" ".join(text.split()) if text.strip() else " " if self.out and not self.out[-1].endswith("\n") else "")
+                text = re.sub(r"\s+", " ", text)
+                start = not self.out or self.out[-1].endswith(("\n", " "))
+                self.out.append(text.lstrip() if start else text)
 
     p = Parser()
     p.feed(data.decode("utf-8", "replace"))

@@ -25,7 +25,7 @@ GRAM = 64
 #: Characters handled at once, and the length of the slices of giant texts.
 BLOCK = 1 << 20
 #: Chunks of one cut point that a single task compares; larger groups are compared by distributed aggregation.
-HOT = 20_000
+HOT = 5_000
 _POS = np.uint64(24)
 _U = np.uint64
 

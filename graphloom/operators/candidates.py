@@ -9,8 +9,10 @@ from graphloom.functions.text import WS, relationship_id, snippet
 from graphloom.ontology import Ontology, literal_map
 
 MAX_SNIPPETS = 3
+# What is said of a candidate.
 DEFAULT_DEFINITION = "{name} is a concept identified in the reviewed documents."
 DEFAULT_MEANING = "Its business significance has not yet been described."
+MENTIONED, AMBIGUOUS, OCCURRED = "Auto-created from %d mention(s).", " Flagged for ambiguity.", "Auto-created from %d occurrence(s)."
 HISTORY = "array<struct<timestamp:string,reviewer:string,action:string,comment:string>>"
 
 
@@ -79,7 +81,7 @@ def build_entities(
     none = F.array().cast("array<string>")
     out = rows.join(mention_counts(ents, mentions), "id").join(evidence(links, chunks, "id"), "id", "left").join(sources(links, chunks, "id"), "id", "left")
     ambiguous = possible_meanings(F.col("name"), ontology or Ontology())
-    comment = F.concat(F.format_string("Auto-created from %d mention(s).", "n_mentions"), F.when(F.size("possible_meanings") > 0, F.lit(" Flagged for ambiguity.")).otherwise(""))
+    comment = F.concat(F.format_string(MENTIONED, "n_mentions"), F.when(F.size("possible_meanings") > 0, F.lit(AMBIGUOUS)).otherwise(""))
     return out.withColumn("possible_meanings", ambiguous).select(
         "id", "name", F.col("type").alias("entity_type"),
         template(F.col("name"), F.col("type"), definitions or {}, DEFAULT_DEFINITION).alias("definition"),
@@ -112,7 +114,7 @@ def build_relationships(
     triples = undecided(relationship_confidence(group_relationships(rels), scores), existing, decided)
     links = rels.select(relationship_id(F.col("source"), F.col("relationship"), F.col("target")).alias("id"), F.col("source_chunk").alias("chunk_id"), F.col("source_chunk").alias("seq"))
     out = triples.join(evidence(links, chunks, "id"), "id", "left")
-    comment = F.format_string("Auto-created from %d occurrence(s).", "n_occurrences")
+    comment = F.format_string(OCCURRED, "n_occurrences")
     return out.select(
         "id", F.col("source").alias("source_entity"), F.col("relationship").alias("relationship_type"), F.col("target").alias("target_entity"),
         "confidence_score", F.lit("PENDING_REVIEW").alias("status"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"),

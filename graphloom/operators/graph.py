@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import label_of, strip
 from graphloom.ontology import RELATIONSHIP_TYPES
 
-#: A link in a text: marker, label, address with the page's id; the address ends before the next marker, white space or the end.
+# Fixed value (G5): a link in a text: marker, label, address with the page's id; the address ends before the next
+# marker, white space or the end.
 _LINK = r"(?d)smallblue(.*?)(https://\S+?/pages/(\d+)/\S*?)(?=smallblue|\s|$)"
 LIVE_EXCLUDED = ("REJECTED", "MERGED")
 

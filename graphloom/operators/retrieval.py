@@ -9,6 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_HOPS, MAX_LIMIT, MAX_QUERY = 3, 100, 4000
+# The texts of the context.
+NOTHING = "No approved knowledge graph content was found for this query."
+EXCERPTS = "Relevant excerpts from approved documents:"
+FENCE = "<<<BEGIN_UNTRUSTED_DOCUMENT_EXCERPT>>>{}<<<END_UNTRUSTED_DOCUMENT_EXCERPT>>>"
+ENTITIES = "Related entities mentioned:"
+PATHS = "Relationships between these entities:"
+STEPS = "Next steps in this process:"
 
 
 def clamp(hops: int, limit: int) -> tuple[int, int]:
@@ -179,14 +186,13 @@ def retrieve(
 def context_text(context: Context) -> str:
     """Q11: the context as text for a model; excerpts are fenced as untrusted."""
     if not context.chunks:
-        return "No approved knowledge graph content was found for this query."
-    out = ["Relevant excerpts from approved documents:"]
-    fence = "<<<BEGIN_UNTRUSTED_DOCUMENT_EXCERPT>>>{}<<<END_UNTRUSTED_DOCUMENT_EXCERPT>>>"
-    out += [f"- (chunk {c['chunk_id']} from document {c['document_id']}): {fence.format(c['content'])}" for c in context.chunks]
+        return NOTHING
+    out = [EXCERPTS]
+    out += [f"- (chunk {c['chunk_id']} from document {c['document_id']}): {FENCE.format(c['content'])}" for c in context.chunks]
     sections = (
-        ("Related entities mentioned:", [f"{e['name']} ({e['entity_type']})" for e in context.entities]),
-        ("Relationships between these entities:", context.graph_paths),
-        ("Next steps in this process:", context.next_steps),
+        (ENTITIES, [f"{e['name']} ({e['entity_type']})" for e in context.entities]),
+        (PATHS, context.graph_paths),
+        (STEPS, context.next_steps),
     )
     for title, rows in sections:
         if rows:

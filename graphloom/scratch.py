@@ -28,24 +28,35 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_BASES: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this process, once the results that read them are written."""
+    while _BASES:
+        _delete(spark, _BASES.pop())
+
+
 class Scratch:
     """One run's scratch tables; ``cut`` writes a table and reads it back, ``drop`` frees one that is no longer read."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        _BASES.append(self.base)
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
         self.n += 1
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._scratch = path
         return out
 
     def drop(self, df: DataFrame | None) -> None:
-        path = self.paths.pop(id(df), None)
-        if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        if df is not None and "_scratch" in vars(df):
+            _delete(self.spark, vars(df).pop("_scratch"))

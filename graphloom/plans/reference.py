@@ -194,7 +194,7 @@ _BLOCKS = rf"""{_LINES},
 
 @query(
     _sql(
-        "SELECT document_id, CAST(section_no AS BIGINT) AS section_no, max(level) AS level, max(title) AS title, count(*) AS n_lines FROM numbered GROUP BY document_id, section_no",
+        "SELECT document_id, CAST(section_no AS BIGINT) AS section_no, CAST(max(level) AS INTEGER) AS level, max(title) AS title, count(*) AS n_lines FROM numbered GROUP BY document_id, section_no",
         _LINES,
     )
 )
@@ -348,7 +348,7 @@ def r1_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return relations.chunk_sentences(_folded(spark, sf)).select("chunk_id", "sentence_no", "sentence")
 
 
-@query(_sql('SELECT chunk_id, sentence_no, kind, start AS span_start, "end" AS span_end FROM spans', _RELS))
+@query(_sql('SELECT chunk_id, sentence_no, kind, start AS span_start, CAST("end" AS INTEGER) AS span_end FROM spans', _RELS))
 def r2_triggers(spark: SparkSession, sf: str) -> DataFrame:
     """Relationship triggers in every sentence."""
     spans = relations.trigger_spans(relations.chunk_sentences(_folded(spark, sf)), ONTOLOGY)
@@ -693,7 +693,7 @@ def k17_violations(spark: SparkSession, sf: str) -> DataFrame:
 # --- retrieval ---------------------------------------------------------------------------------------------------
 
 
-@query(_sql("SELECT c.chunk_id, v.embedding_model, len(v.embedding_vector) AS dimension FROM live_chunks c LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY embedded_at DESC NULLS LAST, embedding_model DESC NULLS LAST, embedding_vector DESC NULLS LAST) AS n FROM chunk_embeddings) WHERE n = 1) v ON v.chunk_id = c.chunk_id"))
+@query(_sql("SELECT c.chunk_id, v.embedding_model, CAST(len(v.embedding_vector) AS INTEGER) AS dimension FROM live_chunks c LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY embedded_at DESC NULLS LAST, embedding_model DESC NULLS LAST, embedding_vector DESC NULLS LAST) AS n FROM chunk_embeddings) WHERE n = 1) v ON v.chunk_id = c.chunk_id"))
 def e4_embed_join(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks with the model and dimension of their last vector."""
     rows = embed.join_vectors(live_chunks(spark, sf), table(spark, sf, "chunk_embeddings"), "embedded_at")

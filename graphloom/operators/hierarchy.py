@@ -320,8 +320,42 @@ def paths(links: DataFrame, solved: DataFrame, sep: str = " > ", max_rounds: int
     return cur.selectExpr("id as document_id", "path")
 
 
+def all_descendants(links: DataFrame, solved: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """document_id, descendant_id, levels: every pair of a node and another that is reached from it downwards.
+
+    Pages of a loop are beneath one another, and what lies beneath a loop is so for each of its pages; levels is the
+    least number of links. Doubling over arrays of ids, as in ``paths``; a loop is cut above its smallest id, and the
+    pages that this leaves out of an array are added. So many rows for each node as hierarchy() has for n_descendants.
+    """
+    scratch = Scratch(links.sparkSession, "descendants")
+    on = solved.select(F.col("document_id").alias("id"), "root_id", "tree_depth")
+    known = on.select(F.col("id").alias("pid"))
+    cur = scratch.cut(
+        links.select("id", "parent").join(on, "id").join(known, F.col("parent") == F.col("pid"), "left")
+        .selectExpr("id", "root_id", "tree_depth", "if(tree_depth = -1 and id = root_id, null, pid) as up", "array(id) as way")
+    )
+    for _ in range(max_rounds):
+        if not cur.where("up is not null").limit(1).count():
+            break
+        above = cur.selectExpr("id as up", "up as next", "way as head")
+        new = cur.join(above, "up", "left").selectExpr("id", "root_id", "tree_depth", "next as up", "if(head is null, way, concat(head, way)) as way")
+        new = scratch.cut(new)
+        scratch.drop(cur)
+        cur = new
+    upwards = cur.select(F.posexplode("way").alias("i", "document_id"), F.col("id").alias("descendant_id"), F.size("way").alias("n")).where("i < n - 1")
+    loop = cur.where("tree_depth = -1").selectExpr("root_id", "id as document_id", "size(way) - 1 as place")
+    loop = loop.join(loop.groupBy("root_id").agg(F.count("*").cast("int").alias("length")), "root_id")
+    round_ = cur.where("tree_depth < 0").select("root_id", F.col("id").alias("descendant_id"), "way").join(loop, "root_id").where("not array_contains(way, document_id)")
+    return upwards.selectExpr("document_id", "descendant_id", "n - 1 - i as levels").unionByName(
+        round_.selectExpr("document_id", "descendant_id", "length + size(way) - 1 - place as levels")
+    )
+
+
 def descendants(paths_of: DataFrame, sep: str = " > ") -> DataFrame:
-    """document_id, descendant_id, levels: every pair of a node and one beneath it, from the nodes' paths."""
+    """document_id, descendant_id, levels: every pair of a node and one beneath it on its path.
+
+    Paths start at the loop, so the loop's other pages are missing, and ids must not hold ``sep``: see ``all_descendants``.
+    """
     parts = F.split("path", f"\\Q{sep}\\E")
     p = paths_of.select(F.col("document_id").alias("descendant_id"), F.posexplode(parts).alias("i", "document_id"), F.size(parts).alias("n"))
     return p.where("document_id <> descendant_id").selectExpr("document_id", "descendant_id", "n - 1 - i as levels")

@@ -47,6 +47,12 @@ def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.paths(links, hierarchy.hierarchy(links))
 
 
+def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages beneath every page, loops included."""
+    links = _pages(spark, sf)
+    return hierarchy.all_descendants(links, hierarchy.hierarchy(links))
+
+
 _P3_FOUND = """
     SELECT * FROM (
     WITH parents AS (
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_report": p3_report,
     "p6_found": p6_found,
     "p6_paths": p6_paths,
+    "p6_descendants": p6_descendants,
 }
 
 SQL: dict[str, str] = {
@@ -107,4 +114,10 @@ SQL: dict[str, str] = {
             SELECT u.id AS document_id, u.id AS path FROM up u WHERE u.parent IS NULL OR u.id IN (SELECT id FROM on_loop)
             UNION ALL SELECT u.id, d.path || ' > ' || u.id FROM down d JOIN up u ON u.parent = d.document_id WHERE u.id NOT IN (SELECT id FROM on_loop))
         SELECT document_id, path FROM down""",
+    "p6_descendants": f"""
+        WITH RECURSIVE {_PAGES},
+        above AS (
+            SELECT id, parent AS a, 1 AS d FROM up WHERE parent IS NOT NULL
+            UNION SELECT above.id, up.parent, d + 1 FROM above JOIN up ON up.id = above.a WHERE up.parent IS NOT NULL AND d < 200)
+        SELECT a AS document_id, id AS descendant_id, CAST(min(d) AS INTEGER) AS levels FROM above WHERE a <> id GROUP BY a, id""",
 }

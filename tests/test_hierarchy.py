@@ -66,6 +66,24 @@ def test_paths_and_descendants(spark):
     assert below == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("r", "t", 1)}
 
 
+@pytest.mark.parametrize("name", [*CASES, "loops"])
+def test_all_descendants(spark, name):
+    rows = CASES.get(name) or [("a", None), ("b > c", "a"), ("d", "b > c"), ("r", "s"), ("s", "q"), ("q", "r"), ("t", "s"), ("u", "t"), ("z", "z")]
+    up = {i: p for i, p in rows}
+    want = {}
+    for i in up:
+        x, n = up[i], 1
+        while x in up and (x, i) not in want:
+            want[x, i] = n
+            x, n = up[x], n + 1
+    df = links(spark, rows)
+    solved = H.hierarchy(df)
+    got = [tuple(r) for r in H.all_descendants(df, solved).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(*k, n) for k, n in want.items() if k[0] != k[1]}
+    for r in solved.collect():
+        assert r.n_descendants == sum(g[0] == r.document_id for g in got)
+
+
 def test_latest_pages(spark):
     rows = [("p", "x", 1, "s"), ("p", " y ", 3, "s"), ("p", " y ", 3, "s"), ("q", None, 1, None), (None, "p", 1, "s")]
     df = spark.createDataFrame(rows, "document_id string, parent_page_id string, version int, space_key string")

@@ -43,7 +43,7 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "chunk_id",
 
 def mentioned(mentions: DataFrame, ents: DataFrame, chunk_ids: DataFrame) -> DataFrame:
     """Q2: entity_id, name, entity_type of the entities mentioned in the chunks (chunk_id)."""
-    hit = mentions.join(F.broadcast(chunk_ids.select("chunk_id").limit(MAX_LIMIT)), "chunk_id", "left_semi").select("entity_id").distinct()
+    hit = mentions.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("entity_id").distinct()
     return hit.join(ents, hit["entity_id"] == ents["id"]).select("entity_id", "name", F.col("type").alias("entity_type"))
 
 

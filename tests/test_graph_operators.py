@@ -178,6 +178,14 @@ def test_clamps_and_breadth_first(spark):
     assert got == {("b", "a", "X", 1), ("c", "a", "Z", 1), ("d", "c", "X", 2)}
 
 
+def test_mentioned_takes_every_chunk(spark):
+    m = spark.createDataFrame([(f"c{i}", f"e{i}") for i in range(300)], "chunk_id string, entity_id string")
+    ents = spark.createDataFrame([(f"e{i}", f"E{i}", "API") for i in range(300)], "id string, name string, type string")
+    asked = m.select("chunk_id").where("chunk_id <> 'c7'")
+    got = [r.entity_id for r in retrieval.mentioned(m, ents, asked.unionByName(asked)).collect()]
+    assert sorted(got) == sorted(f"e{i}" for i in range(300) if i != 7)
+
+
 def test_retrieval(spark):
     c = spark.createDataFrame([("c0", "d1", "about billing"), ("c1", "d2", "about mail")], "id string, document string, content string")
     embedder = embed.hashing_embedder(16)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,53 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "chunk_id",
     return scored.orderBy(F.desc("similarity"), key).limit(k).withColumn("score", (F.col("similarity") + 1) / 2)
 
 
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", vector: str = "embedding_vector", per_pass: int = 1024) -> DataFrame:
+    """Q1 for many queries: query, key, similarity, score; exactly, equal ones by key. queries: query (of the key's type), v.
+
+    Each pass takes some ``per_pass`` queries against all vectors; each batch keeps what can be among a query's k best.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    passes, out = -(-queries.count() // per_pass), None
+
+    def search(ids: list, rows: list):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            length = np.array([len(r) for r in rows])
+            for b in batches:
+                keep = b[[x is not None for x in b.v]]
+                sizes = keep.v.map(len).to_numpy(dtype=np.int64)
+                for d in np.intersect1d(length, sizes):
+                    x = np.stack(keep.v[sizes == d].to_numpy()).astype(float)
+                    norm, q = np.linalg.norm(x, axis=1), np.stack([np.asarray(rows[i], float) for i in np.flatnonzero(length == d)])
+                    good = norm > 0
+                    if not good.any():
+                        continue
+                    keys = keep.key.to_numpy()[sizes == d][good]
+                    s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x[good] / norm[good, None]).T
+                    s[np.isnan(s)] = -np.inf
+                    least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+                    i, j = np.nonzero((s >= least[:, None] - 1e-12) & (s > -np.inf))  # equal ones all stay
+                    at = np.flatnonzero(length == d)
+                    yield pd.DataFrame({"query": [ids[z] for z in at[i]], "key": keys[j], "similarity": s[i, j]})
+
+        return run
+
+    for p in range(passes):
+        found = queries.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == p).where("exists(v, x -> x <> 0)").collect()
+        part = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(search([r.query for r in found], [r.v for r in found]), f"query {kind}, key {kind}, similarity double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], f"query {kind}, key {kind}, similarity double")
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
+    best = out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    return best.select("query", F.col("key").alias(key), "similarity", ((F.col("similarity") + 1) / 2).alias("score"))
+
+
+def mentioned_each(mentions: DataFrame, ents: DataFrame, chunk_ids: DataFrame) -> DataFrame:
+    """Q2 for each chunk apart: chunk_id, entity_id, name, entity_type."""
+    hit = mentions.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "entity_id").distinct()
+    return hit.join(ents, hit["entity_id"] == ents["id"]).select("chunk_id", "entity_id", "name", F.col("type").alias("entity_type"))
+
+
 def mentioned(mentions: DataFrame, ents: DataFrame, chunk_ids: DataFrame) -> DataFrame:
     """Q2: entity_id, name, entity_type of the entities mentioned in the chunks (chunk_id)."""
     hit = mentions.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select("entity_id").distinct()
@@ -53,10 +102,16 @@ def trails(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False
     edges: a, b, label. Ends that are seeds are left out; equal (source, target, labels) are one row. Each hop is an
     equi-join on the current node, so a hub's rows can be split like those of any skewed join.
     """
+    start = seeds.select(F.col("id").alias("source_id")).distinct()
+    ended = _walks(edges, start, hops, directed).join(start.withColumnRenamed("source_id", "at"), "at", "left_anti")
+    return ended.select("source_id", F.col("at").alias("target_id"), "labels").distinct()
+
+
+def _walks(edges: DataFrame, start: DataFrame, hops: int, directed: bool) -> DataFrame:
+    """source_id, at, labels, used: the trails from ``start`` (source_id), wherever they end."""
     numbered = edges.select("a", "b", "label").where("a is not null and b is not null").withColumn("edge", F.xxhash64("a", "b", "label"))
     numbered = numbered.withColumn("edge", F.struct("edge", F.row_number().over(Window.partitionBy("a", "b", "label").orderBy("edge"))))
     steps = numbered if directed else numbered.unionByName(numbered.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "label", "edge"))
-    start = seeds.select(F.col("id").alias("source_id")).distinct()
     front = start.join(steps, F.col("source_id") == F.col("a")).select("source_id", F.col("b").alias("at"), F.array("label").alias("labels"), F.array("edge").alias("used"))
     out = front
     for _ in range(hops - 1):
@@ -65,8 +120,27 @@ def trails(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False
             .select("source_id", F.col("b").alias("at"), F.array_append("labels", F.col("label")).alias("labels"), F.array_append("used", F.col("edge")).alias("used"))
         )
         out = out.unionByName(front)
-    ended = out.join(start.withColumnRenamed("source_id", "at"), "at", "left_anti")
-    return ended.select("source_id", F.col("at").alias("target_id"), "labels").distinct()
+    return out
+
+
+def trails_each(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:
+    """query, source_id, target_id, labels: ``trails`` for each query apart; seeds: query, id. Walks are made once a seed."""
+    seeds = seeds.select("query", "id").distinct()
+    found = _walks(edges, seeds.select(F.col("id").alias("source_id")).distinct(), hops, directed).select("source_id", F.col("at").alias("target_id"), "labels").distinct()
+    of = found.join(seeds.withColumnRenamed("id", "source_id"), "source_id")
+    return of.join(seeds.withColumnRenamed("id", "target_id"), ["query", "target_id"], "left_anti").select("query", "source_id", "target_id", "labels")
+
+
+def neighbors_each(ents: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, limit: int = 20) -> DataFrame:
+    """Q3 for each query apart: query and the columns of ``neighbors``, ``limit`` of them a query. seeds: query, id."""
+    hops, limit = clamp(hops, limit)
+    t = trails_each(edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("relationship").alias("label")), seeds, hops)
+    source = ents.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    target = ents.select(F.col("id").alias("target_id"), "name", F.col("type").alias("entity_type"))
+    rows = t.join(source, "source_id").join(target, "target_id")
+    rows = rows.select("query", F.col("target_id").alias("entity_id"), "name", "entity_type", "source_name", F.col("labels").alias("relationship_types")).distinct()
+    w = Window.partitionBy("query").orderBy(F.size("relationship_types"), "source_name", "entity_id", "relationship_types")
+    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
 
 
 def neighbors(ents: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, limit: int = 20) -> DataFrame:

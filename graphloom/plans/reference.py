@@ -721,6 +721,36 @@ def q2_mentioned(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.mentioned(mention_rows(spark, sf), live_entities(spark, sf), _seed_chunks(spark, sf))
 
 
+@query("SELECT query, vec_id, round(s, 6) AS similarity, round((1 + s) / 2, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS n FROM (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE n <= 8")
+def q1_topk_each(spark: SparkSession, sf: str) -> DataFrame:
+    """The 8 vectors most similar to each whose id is divisible by 100."""
+    v = table(spark, sf, "embeddings")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    found = retrieval.top_k_each(v, q, 8, "vec_id", "embedding")
+    return found.select("query", "vec_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of which a number made from the id is divisible by 100: every one is a query of its own."""
+    return live_chunks(spark, sf).where("cast(conv(left(md5(chunk_id), 8), 16, 10) as bigint) % 100 = 0").select("chunk_id", "document")
+
+
+_EACH = "asked AS (SELECT chunk_id FROM live_chunks WHERE CAST('0x' || left(md5(chunk_id), 8) AS BIGINT) % 100 = 0)"
+
+
+@query(_sql("SELECT DISTINCT m.chunk_id, e.id AS entity_id, e.name, e.type AS entity_type FROM mentions m JOIN live_entities e ON e.id = m.entity_id WHERE m.chunk_id IN (SELECT chunk_id FROM asked)", _EACH))
+def q2_mentioned_each(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities of every hundredth chunk."""
+    return retrieval.mentioned_each(mention_rows(spark, sf), live_entities(spark, sf), _asked(spark, sf))
+
+
+@query()
+def q3_neighbors_each_h1(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours of the entities of every hundredth chunk, 100 a chunk."""
+    seeds = q2_mentioned_each(spark, sf).select(F.col("chunk_id").alias("query"), F.col("entity_id").alias("id"))
+    return retrieval.neighbors_each(live_entities(spark, sf), edges(spark, sf), seeds, 1, 100)
+
+
 _STEPS = """steps AS (SELECT source AS a, target AS b, relationship AS t, row_number() OVER (ORDER BY source, relationship, target) AS e FROM edges),
     both_ways AS (SELECT * FROM steps UNION ALL SELECT b, a, t, e FROM steps WHERE a <> b),
     h1 AS (SELECT s.id AS source_id, b AS node, [t] AS types, [e] AS used FROM seeds s JOIN both_ways ON a = s.id),

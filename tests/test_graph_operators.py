@@ -186,6 +186,25 @@ def test_mentioned_takes_every_chunk(spark):
     assert sorted(got) == sorted(f"e{i}" for i in range(300) if i != 7)
 
 
+def test_every_query_apart(spark):
+    rnd = random.Random(2)
+    edges = spark.createDataFrame([(rnd.choice("abcdefgh"), rnd.choice("XY"), rnd.choice("abcdefgh")) for _ in range(14)], "source string, relationship string, target string")
+    ents = spark.createDataFrame([(x, x.upper(), "API") for x in "abcdefgh"], "id string, name string, type string")
+    seeds = [("q1", "a"), ("q1", "c"), ("q2", "c"), ("q3", "h")]
+    for hops in (1, 2):
+        got = [tuple(r) for r in retrieval.neighbors_each(ents, edges, spark.createDataFrame(seeds, "query string, id string"), hops, 3).collect()]
+        want = []
+        for q in ("q1", "q2", "q3"):
+            own = spark.createDataFrame([(i,) for x, i in seeds if x == q], "id string")
+            want += [(q, *r) for r in retrieval.neighbors(ents, edges, own, hops, 3).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    v = spark.createDataFrame([(i, [rnd.choice([0.0, 1.0, 2.0]), rnd.choice([0.0, 1.0])]) for i in range(40)] + [(40, None), (41, [1.0])], "chunk_id int, embedding_vector array<float>")
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "query int, v array<float>")
+    for r in q.collect():
+        each = [x.chunk_id for x in retrieval.top_k_each(v, q, 4, per_pass=2).where(f"query = {r.query}").orderBy(F.desc(F.round("similarity", 9)), "chunk_id").collect()]
+        assert each == [x.chunk_id for x in retrieval.top_k(v, r.v, 4).orderBy(F.desc(F.round("similarity", 9)), "chunk_id").collect()]
+
+
 def test_retrieval(spark):
     c = spark.createDataFrame([("c0", "d1", "about billing"), ("c1", "d2", "about mail")], "id string, document string, content string")
     embedder = embed.hashing_embedder(16)

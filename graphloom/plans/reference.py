@@ -612,6 +612,41 @@ def g14_deltas(spark: SparkSession, sf: str) -> DataFrame:
     return diff.deltas(_entity_diff(spark, sf), _relationship_diff(spark, sf))
 
 
+def _loaded_before(spark: SparkSession, sf: str, day: str) -> DataFrame:
+    """The edges known from the rows loaded before a day."""
+    plain = lambda c: F.nullif(F.lower(F.trim(F.col(c), F.lit(" \t"))), F.lit("")).alias(c)
+    rows = table(spark, sf, "relationships").where(F.col("loaded_at") < F.lit(day).cast("timestamp_ntz"))
+    rows = rows.select(plain("source"), F.upper(F.trim("relationship")).alias("relationship"), plain("target"))
+    return rows.where("source is not null and target is not null and relationship is not null").distinct()
+
+
+# Fixed value: the day up to which the earlier state had been loaded.
+_EARLIER = "2025-07-01"
+_RDIFF_LOADED = f"""{_resolved(_PROPOSED, _PROPOSED)},
+    nowr AS (SELECT DISTINCT source_entity AS source, relationship_type AS relationship, target_entity AS target FROM kept),
+    wasr AS (SELECT DISTINCT * FROM (SELECT nullif(lower(trim(source, chr(32) || chr(9))), '') AS source, upper(trim(relationship)) AS relationship,
+        nullif(lower(trim(target, chr(32) || chr(9))), '') AS target FROM relationships WHERE loaded_at < TIMESTAMP '{_EARLIER}')
+        WHERE source IS NOT NULL AND target IS NOT NULL AND relationship IS NOT NULL),
+    rdiff AS (SELECT *, 'added' AS change FROM (SELECT * FROM nowr EXCEPT SELECT * FROM wasr) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM wasr EXCEPT SELECT * FROM nowr))"""
+
+
+@query(_sql("SELECT source, relationship, target, change FROM rdiff", _RDIFF_LOADED))
+def g13_relationship_diff_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """Relationships added or removed against all that had been loaded by an earlier day."""
+    return diff.relationship_diff(_loaded_before(spark, sf, _EARLIER), candidate_rows(spark, sf), candidate_relationships(spark, sf))
+
+
+@query(
+    _sql(
+        "SELECT (SELECT CAST(coalesce(sum(CASE change WHEN 'added' THEN 1 WHEN 'modified' THEN 0 ELSE -1 END), 0) AS BIGINT) FROM ediff) AS node_delta, (SELECT CAST(coalesce(sum(CASE change WHEN 'added' THEN 1 ELSE -1 END), 0) AS BIGINT) FROM rdiff) AS relationship_delta",
+        f"{_EDIFF}, {_RDIFF_LOADED}",
+    )
+)
+def g14_deltas_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """Net change of the graph's size since that day."""
+    return diff.deltas(_entity_diff(spark, sf), diff.relationship_diff(_loaded_before(spark, sf, _EARLIER), candidate_rows(spark, sf), candidate_relationships(spark, sf)))
+
+
 def _first_versions(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "raw_documents").where("version = 1")
     return rows.groupBy("document_id").agg(F.max("content_hash").alias("content_hash"))

@@ -124,6 +124,18 @@ def test_graph_diff(spark):
     assert tuple(diff.deltas(diff.entity_diff(base.limit(0), ents.limit(0)), edges.limit(0)).first()) == (0, 0)
 
 
+def test_earlier_state_is_cut_by_time_alone(spark, tmp_path):
+    import datetime
+
+    from graphloom.plans import reference
+
+    early, late = datetime.datetime(2000, 1, 1), datetime.datetime(2100, 1, 1)
+    rows = [(" A ", "uses", "b", "9999999", early), ("c", "USES", "d", None, early), ("e", "USES", "f", "1000000", late), (None, "USES", "f", "1", early)]
+    spark.createDataFrame(rows, "source string, relationship string, target string, source_chunk string, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/relationships.parquet")
+    got = {tuple(r) for r in reference._loaded_before(spark, str(tmp_path), reference._EARLIER).collect()}
+    assert got == {("a", "USES", "b"), ("c", "USES", "d")}
+
+
 def test_links_and_loading(spark):
     text = "smallblueAn adulthttps://w/pages/2/Q19smallbluehttps://w/pages/9/x smallblue A childhttps://w/pages/3/y"
     docs = spark.createDataFrame([("1", "One", "p", text, None), ("2", "Two Q1 ", "p", None, "1"), ("3", "Three", "p", "", " ")], "document_id string, document_name string, source_path string, markdown string, parent_page_id string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,6 +89,8 @@ def _folded(spark: SparkSession, sf: str) -> DataFrame:
     return live_chunks(spark, sf).withColumn("content", F.regexp_replace("content", r"[^\x00-\x7F]", " "))
 
 
+Chunks = Callable[[SparkSession, str], DataFrame]
+
 _BASE = f"""
     live_chunks AS (
         SELECT chunk_id, document, section_path, content FROM (
@@ -277,27 +280,27 @@ _RAW = f"""{_PHRASES},
 
 
 @query(_sql("SELECT chunk_id, pos, phrase FROM phrases", _PHRASES))
-def x1_phrases(spark: SparkSession, sf: str) -> DataFrame:
+def x1_phrases(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
     """Candidate names in every chunk."""
-    return entities.phrases(_folded(spark, sf)).select("chunk_id", "pos", "phrase")
+    return entities.phrases(chunks(spark, sf)).select("chunk_id", "pos", "phrase")
 
 
 @query(_sql("SELECT chunk_id, pos, name, type FROM raw_entities", _RAW))
-def x4_classified(spark: SparkSession, sf: str) -> DataFrame:
+def x4_classified(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
     """Typed names of every chunk, each once."""
-    return entities.raw_entities(_folded(spark, sf), ONTOLOGY).select("chunk_id", "pos", "name", "type")
+    return entities.raw_entities(chunks(spark, sf), ONTOLOGY).select("chunk_id", "pos", "name", "type")
 
 
 @query(_sql("SELECT id, name, type, source_chunk FROM ents", _RAW))
-def x7_entities(spark: SparkSession, sf: str) -> DataFrame:
+def x7_entities(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
     """Entities of the corpus."""
-    return entities.entities(entities.raw_entities(_folded(spark, sf), ONTOLOGY)).drop("first")
+    return entities.entities(entities.raw_entities(chunks(spark, sf), ONTOLOGY)).drop("first")
 
 
 @query(_sql("SELECT chunk_id, entity_id FROM found_in", _RAW))
-def x8_mentions(spark: SparkSession, sf: str) -> DataFrame:
+def x8_mentions(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
     """Mentions of entities in chunks."""
-    return entities.mentions(entities.raw_entities(_folded(spark, sf), ONTOLOGY)).select("chunk_id", "entity_id")
+    return entities.mentions(entities.raw_entities(chunks(spark, sf), ONTOLOGY)).select("chunk_id", "entity_id")
 
 
 @query(_sql(f"SELECT id, 'entity_' || {_slug('type')} || '_' || {_slug('name')} AS entity_id FROM live_entities WHERE type IS NOT NULL AND name IS NOT NULL"))
@@ -309,16 +312,16 @@ def x9_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_sql("SELECT f.chunk_id, coalesce(n, 0) AS n_mentions, coalesce(n, 0) < 3 AS to_model FROM folded f LEFT JOIN (SELECT chunk_id, count(*) AS n FROM found_in GROUP BY 1) m ON m.chunk_id = f.chunk_id", _RAW))
-def x13_route(spark: SparkSession, sf: str) -> DataFrame:
+def x13_route(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
     """Chunks in which the rules find fewer than three entities."""
-    c = _folded(spark, sf)
+    c = chunks(spark, sf)
     return entities.route(c, entities.mentions(entities.raw_entities(c, ONTOLOGY)), 3).select("chunk_id", "n_mentions", "to_model")
 
 
 @query(_sql("SELECT id, name, type, source_chunk FROM one_ent WHERE id NOT IN (SELECT id FROM live_entities) UNION ALL SELECT id, name, type, source_chunk FROM live_entities", _RAW))
-def x14_merged(spark: SparkSession, sf: str) -> DataFrame:
+def x14_merged(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
     """Given entities together with those found by rules, one row an id, the given ones first."""
-    own = entities.one_per_id(entities.entities(entities.raw_entities(_folded(spark, sf), ONTOLOGY)))
+    own = entities.one_per_id(entities.entities(entities.raw_entities(chunks(spark, sf), ONTOLOGY)))
     return entities.merge(live_entities(spark, sf), own)
 
 
@@ -343,29 +346,29 @@ _RELS = f"""{_RAW}, {_SENT},
 
 
 @query(_sql("SELECT chunk_id, sentence_no, sentence FROM sents", _SENT))
-def r1_sentences(spark: SparkSession, sf: str) -> DataFrame:
+def r1_sentences(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
     """Sentences of every chunk."""
-    return relations.chunk_sentences(_folded(spark, sf)).select("chunk_id", "sentence_no", "sentence")
+    return relations.chunk_sentences(chunks(spark, sf)).select("chunk_id", "sentence_no", "sentence")
 
 
 @query(_sql('SELECT chunk_id, sentence_no, kind, start AS span_start, CAST("end" AS INTEGER) AS span_end FROM spans', _RELS))
-def r2_triggers(spark: SparkSession, sf: str) -> DataFrame:
+def r2_triggers(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
     """Relationship triggers in every sentence."""
-    spans = relations.trigger_spans(relations.chunk_sentences(_folded(spark, sf)), ONTOLOGY)
+    spans = relations.trigger_spans(relations.chunk_sentences(chunks(spark, sf)), ONTOLOGY)
     return spans.select("chunk_id", "sentence_no", "kind", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
 
 
-def _extracted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _extracted(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> tuple[DataFrame, DataFrame, DataFrame]:
     scratch = Scratch(spark, "extracted")
-    c = scratch.cut(_folded(spark, sf))
+    c = scratch.cut(chunks(spark, sf))
     raw = scratch.cut(entities.raw_entities(c, ONTOLOGY))
     return c, entities.one_per_id(entities.entities(raw)), entities.mentions(raw)
 
 
 @query(_sql("SELECT chunk_id, sentence_no, entity_id, place FROM places", _RELS))
-def r3_positions(spark: SparkSession, sf: str) -> DataFrame:
+def r3_positions(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
     """Places of entities in sentences that name two or more."""
-    c, ents, found = _extracted(spark, sf)
+    c, ents, found = _extracted(spark, sf, chunks)
     return relations.positions(relations.chunk_sentences(c), found, ents).select("chunk_id", "sentence_no", "entity_id", F.col("at").alias("place"))
 
 
@@ -375,12 +378,17 @@ def r3_positions(spark: SparkSession, sf: str) -> DataFrame:
         _RELS,
     )
 )
-def r5_relationships(spark: SparkSession, sf: str) -> DataFrame:
+def r5_relationships(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
     """Relationships that the rules find."""
-    c, ents, found = _extracted(spark, sf)
+    c, ents, found = _extracted(spark, sf, chunks)
     return relations.extract_relationships(c, ents, found, ONTOLOGY)
 
 
+# the same over the texts as they are, without SQL: its word boundaries are others
+_OVER_TEXTS = (x1_phrases, x4_classified, x7_entities, x8_mentions, x13_route, x14_merged, r1_sentences, r2_triggers, r3_positions, r5_relationships)
+QUERIES |= {f"{f.__name__}_whole": partial(f, chunks=live_chunks) for f in _OVER_TEXTS}
+
+
 # --- candidates --------------------------------------------------------------------------------------------------
 
 

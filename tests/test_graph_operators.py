@@ -136,6 +136,22 @@ def test_earlier_state_is_cut_by_time_alone(spark, tmp_path):
     assert got == {("a", "USES", "b"), ("c", "USES", "d")}
 
 
+def test_extraction_over_whole_texts(spark, tmp_path):
+    from graphloom.plans.reference import QUERIES
+
+    text = "A fee of £20 — paid. Café Billing Service uses Ledger API. Łódź Billing System depends on Mail Service."
+    rows = [("c1", "d1", None, text, None, False)]
+    spark.createDataFrame(rows, "chunk_id string, document string, section_path string, content string, loaded_at timestamp_ntz, is_deleted boolean").write.parquet(f"{tmp_path}/chunks.parquet")
+    ask = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    sentences = [r.sentence for r in sorted(ask("r1_sentences_whole"), key=lambda r: r.sentence_no)]
+    assert sentences == ["A fee of £20 — paid.", "Café Billing Service uses Ledger API.", "Łódź Billing System depends on Mail Service."]
+    spans = {(r.sentence_no, r.span_start, r.span_end) for r in ask("r2_triggers_whole")}
+    assert {(1, sentences[1].index("uses"), sentences[1].index("uses") + 4), (2, sentences[2].index("depends on"), sentences[2].index("depends on") + 10)} <= {(n, sentences[n].index(sentences[n][a:b].strip()), a + len(sentences[n][a:b].rstrip())) for n, a, b in spans}
+    # a word that goes on with another letter is no name, and never a part of one
+    cut = lambda name: {r.phrase for r in ask(name) if "Caf" in r.phrase}
+    assert cut("x1_phrases_whole") == set() and cut("x1_phrases") == {"Caf Billing Service"}
+
+
 def test_links_and_loading(spark):
     text = "smallblueAn adulthttps://w/pages/2/Q19smallbluehttps://w/pages/9/x smallblue A childhttps://w/pages/3/y"
     docs = spark.createDataFrame([("1", "One", "p", text, None), ("2", "Two Q1 ", "p", None, "1"), ("3", "Three", "p", "", " ")], "document_id string, document_name string, source_path string, markdown string, parent_page_id string")

@@ -1,9 +1,10 @@
 """Parent-child links to full hierarchies: path, depth, root and number of descendants of every node; cycles found.
 
-Chains are contracted partition by partition: each partition (a range of the nodes, near ones together) follows
-parent links as far as they stay inside it, so that every node knows its fragment's exit. The exits alone form a
-smaller forest of weighted links, which is solved the same way, recursively; its solution is then expanded inside
-the partitions. Each level moves every node twice, whatever the depth of the trees.
+Nodes are laid out so that chains tend to stay together, and each partition follows parent links as far as they stay
+inside it. A chain that leaves does so towards a node of another partition; only the nodes that are pointed at from
+outside make up the smaller quotient forest, with links that lead from one of them to the next on its chain. The
+quotient is solved the same way, recursively, and its solution is expanded inside the partitions. A node that nobody
+outside points at never goes further than its own partition, however many children share one parent.
 """
 
 from __future__ import annotations
@@ -12,260 +13,161 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.scratch import Scratch
 
-#: Nodes of one partition, held in one task's memory.
-ROWS_PER_PART = 60_000
+#: Nodes of one partition, held in one task's memory, and nodes from which a forest is given to several.
+ROWS_PER_PART, FEW = 60_000, 500
 TREE, LOOP, BELOW = 0, 1, 2
 
+#: A link leads from ``id`` to ``parent`` over w original links; lo is the least original id on it, its end left out.
+#: Where it ends (parent is null), kind and root say how; size counts the original nodes that hang on ``id`` itself.
+_NODE = "id string, parent string, w bigint, lo string, size bigint, kind int, root string, near string"
+_SOLVED = "id string, kind int, root string, depth bigint, total bigint"
+_COLUMNS = [c.split()[0] for c in _NODE.split(", ")]
 
-class _Local:
-    """A partition's forest: the parent's position of each node, or -1 where the link leaves the partition or ends."""
 
-    def __init__(self, ids: list[str], parents: list[str | None]) -> None:
-        self.ids = ids
-        at = {x: i for i, x in enumerate(ids)}
-        self.up = [at.get(p, -1) if p is not None else -1 for p in parents]
-        self.n = len(ids)
+class _Local:
+    """A partition's forest. up: position of the parent or -1; order: leaves first, nodes on local rings left out."""
+
+    def __init__(self, nodes: pd.DataFrame) -> None:
+        self.ids, self.parents = nodes.id.tolist(), [None if p is None or p != p else p for p in nodes.parent]
+        self.w, self.lo, self.kind, self.root = (nodes[c].tolist() for c in ("w", "lo", "kind", "root"))
+        self.at = {x: i for i, x in enumerate(self.ids)}
+        self.up = [self.at.get(p, -1) if p is not None else -1 for p in self.parents]
+        self.n = len(self.ids)
         kids = [0] * self.n
         for u in self.up:
             if u >= 0:
                 kids[u] += 1
-        # leaves first; what is never reached lies on local cycles
-        order = [i for i in range(self.n) if not kids[i]]
-        for i in order:
+        self.order = [i for i in range(self.n) if not kids[i]]
+        for i in self.order:
             u = self.up[i]
             if u >= 0:
                 kids[u] -= 1
                 if not kids[u]:
-                    order.append(u)
-        self.order = order
-        done = bytearray(self.n)
-        for i in order:
-            done[i] = 1
-        self.cycles: list[list[int]] = []
+                    self.order.append(u)
+        self.rings: list[list[int]] = []
         for i in range(self.n):
-            if not done[i]:
+            if kids[i] > 0:
                 ring = []
-                while not done[i]:
-                    done[i] = 1
+                while kids[i] > 0:
+                    kids[i] = 0
                     ring.append(i)
                     i = self.up[i]
-                self.cycles.append(ring)
-
-
-def _contract(ids: list[str], parents: list[str | None], weights: list[int], lows: list[str | None], sizes: list[int]) -> pd.DataFrame:
-    """For each node: exit (last node of its chain inside), distance to it, least id on the way, and local sizes.
-
-    An exit on a local cycle has exit_kind LOOP. ``lows`` is the least original id a link passes, its end included.
-    """
-    t = _Local(ids, parents)
-    n = t.n
-    exit_, dist, low, total = list(range(n)), [0] * n, list(ids), list(sizes)
-    kind = [TREE] * n
-    for i in t.order:
-        if t.up[i] >= 0:
-            total[t.up[i]] += total[i]
-    for ring in t.cycles:
-        least = min([ids[i] for i in ring] + [lows[i] for i in ring])
-        for i in ring:
-            kind[i], exit_[i], low[i] = LOOP, i, least
-    for i in reversed(t.order):
-        u = t.up[i]
-        if u >= 0:
-            exit_[i], dist[i] = exit_[u], dist[u] + weights[i]
-            low[i] = min(ids[i], lows[i], low[u])
-            kind[i] = BELOW if kind[u] in (LOOP, BELOW) else TREE
-    ring_of = {}
-    for ring in t.cycles:
-        whole = sum(total[i] for i in ring)
-        for i in ring:
-            ring_of[i] = whole
-    return pd.DataFrame(
-        {
-            "exit": [ids[e] for e in exit_], "dist": dist, "low": low, "kind": kind, "total": total,
-            "ring": [ring_of.get(i, 0) for i in range(n)], "is_exit": [t.up[i] < 0 for i in range(n)],
-        }
-    )
+                self.rings.append(ring)
+
+    def totals(self, own: list[int]) -> list[int]:
+        """Sums over the local subtrees; on a ring what hangs on each node of it."""
+        total = list(own)
+        for i in self.order:
+            if self.up[i] >= 0:
+                total[self.up[i]] += total[i]
+        return total
+
+    def ends(self) -> tuple[list, list, list, list, list]:
+        """Of each node's chain: the outside node it leaves towards (or None), links up to its end, least id; else kind and root."""
+        out, dist, low, kind, root = [None] * self.n, list(self.w), list(self.lo), list(self.kind), list(self.root)
+        for ring in self.rings:
+            least = min(self.lo[i] for i in ring)
+            for i in ring:
+                kind[i], root[i] = LOOP, least
+        for i in reversed(self.order):
+            u = self.up[i]
+            if u < 0:
+                out[i] = self.parents[i]
+            else:
+                out[i], dist[i], low[i] = out[u], self.w[i] + dist[u], min(self.lo[i], low[u])
+                kind[i], root[i] = (TREE, root[u]) if kind[u] == TREE else (BELOW, root[u])
+        return out, dist, low, kind, root
 
 
-_NODE = "id string, parent string, w bigint, lo string, size bigint"
-_CONTRACTED = f"part int, {_NODE}, exit string, dist bigint, low string, kind int, total bigint, ring bigint, is_exit boolean"
-_SOLVED = "id string, kind int, root string, depth bigint, total bigint"
+_CONTRACTED = f"part int, {_NODE}, out string, dist bigint, low string, end_kind int, end_root string, mass bigint"
 
 
-def _contract_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each node with the end of its chain in this partition; mass: nodes that leave with it, at the last one before the end."""
     rows = pd.concat(list(batches), ignore_index=True)
     if len(rows):
-        found = _contract(
-            rows.id.tolist(), [None if p is None or p != p else p for p in rows.parent], rows.w.tolist(),
-            rows.lo.tolist(), rows["size"].tolist(),
-        )
-        yield pd.concat([pd.Series(TaskContext.get().partitionId(), index=rows.index, name="part"), rows, found], axis=1)[
-            [c.split()[0] for c in _CONTRACTED.split(", ")]
-        ]
-
-
-def _expand_part(nodes: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-    """Solution of a partition's nodes from that of its exits (what = 'exit') and the fragments hung on its nodes."""
-    ids = nodes.id.tolist()
-    t = _Local(ids, [None if p is None or p != p else p for p in nodes.parent])
-    at = {x: i for i, x in enumerate(ids)}
-    w, lo = nodes.w.tolist(), nodes.lo.tolist()
-    total, ring_entry = nodes["size"].tolist(), bytearray(t.n)
-    solved: dict[str, tuple[int, str, int, int]] = {}
-    for what, node, kind, root, depth, tot in zip(notes.what, notes.node, notes.kind, notes.root, notes.depth, notes.total, strict=True):
-        if what == "exit":
-            solved[node] = (int(kind), root, int(depth), int(tot))
-        elif kind == LOOP:
-            ring_entry[at[node]] = 1
+        t = _Local(rows)
+        out, dist, low, kind, root = t.ends()
+        total = t.totals(rows["size"].tolist())
+        mass = [total[i] if t.up[i] < 0 and t.parents[i] is not None else 0 for i in range(t.n)]
+        rows = rows.assign(part=TaskContext.get().partitionId(), out=out, dist=dist, low=low, end_kind=kind, end_root=root, mass=mass)
+        yield rows[[c.split()[0] for c in _CONTRACTED.split(", ")]]
+
+
+def _expand(nodes: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+    """Solution of a partition's nodes from that of the outside nodes its chains lead to (what = 'out') and of its own nodes that are pointed at ('in')."""
+    t = _Local(nodes)
+    own, on_ring = nodes["size"].tolist(), bytearray(t.n)
+    outside: dict[str, tuple[int, str, int]] = {}
+    for what, node, kind, root, depth, total in zip(notes.what, notes.node, notes.kind, notes.root, notes.depth, notes.total, strict=True):
+        if what == "out":
+            outside[node] = int(kind), root, int(depth)
         else:
-            total[at[node]] += int(tot)
+            own[t.at[node]] += int(total)
+            on_ring[t.at[node]] = kind == LOOP
+    total = t.totals(own)
     for i in t.order:
-        u = t.up[i]
-        if u >= 0:
-            total[u] += total[i]
-            ring_entry[u] |= ring_entry[i]
-    kind, root, depth, out = [0] * t.n, [""] * t.n, [0] * t.n, list(total)
-    for ring in t.cycles:
-        least = min([ids[i] for i in ring] + [lo[i] for i in ring])
-        whole = sum(total[i] for i in ring)
+        if t.up[i] >= 0:
+            on_ring[t.up[i]] |= on_ring[i]
+    _, dist, _, kind, root = t.ends()
+    depth = [0] * t.n
+    for ring in t.rings:
         for i in ring:
-            kind[i], root[i], depth[i], out[i] = LOOP, least, -1, whole
+            depth[i] = -1
     for i in reversed(t.order):
         u = t.up[i]
-        if u < 0:
-            kind[i], root[i], depth[i], whole = solved[ids[i]]
-            out[i] = whole if kind[i] == LOOP else total[i]
-        elif kind[u] == TREE:
-            root[i], depth[i] = root[u], depth[u] + w[i]
-        elif ring_entry[i] and kind[u] == LOOP:  # a ring through other partitions runs along this link
-            kind[i], root[i], depth[i], out[i] = LOOP, root[u], -1, out[u]
+        if u >= 0:
+            above, root[i], high = kind[u], root[u], depth[u]
+        elif t.parents[i] is not None:
+            above, root[i], high = outside[t.parents[i]]
         else:
-            kind[i], root[i], depth[i] = BELOW, root[u], -2
-    return pd.DataFrame({"id": ids, "kind": kind, "root": root, "depth": depth, "total": out})
+            above, high = (TREE, 0) if kind[i] == TREE else (kind[i], 0)
+        if above == TREE:
+            kind[i], depth[i] = TREE, high + t.w[i]
+        else:  # a ring through several partitions runs along this link, if a node that points here lies on it
+            kind[i] = LOOP if on_ring[i] or (kind[i] == LOOP and t.parents[i] is None) else BELOW
+            depth[i] = -1 if kind[i] == LOOP else -2
+    return pd.DataFrame({"id": t.ids, "kind": kind, "root": root, "depth": depth, "total": total})
 
 
-def _solve_all(rows: pd.DataFrame) -> pd.DataFrame:
-    """The whole forest in one partition: every exit is a root."""
-    found = _contract(
-        rows.id.tolist(), [None if p is None or p != p else p for p in rows.parent], rows.w.tolist(), rows.lo.tolist(), rows["size"].tolist()
-    )
-    exits = found[found.is_exit]
-    notes = exits.assign(what="exit", node=exits.exit, kind=TREE, root=exits.exit, depth=0)
-    return _expand_part(rows, notes)
-
-
-def _solve(nodes: DataFrame, n: int, scratch: Scratch, rows_per_part: int, near: str | None) -> DataFrame:
-    """nodes: id, parent, w, lo, size and, at the first level, the column ``near``. Every parent is itself a node."""
-    if n <= rows_per_part:
-        return nodes.select("id", "parent", "w", "lo", "size", F.lit(0).alias("part")).groupBy("part").applyInPandas(_solve_all, _SOLVED)
-    parts = -(-n // rows_per_part)
-    order = [c for c in (near, "id") if c]
-    contracted = scratch.cut(
-        nodes.repartitionByRange(parts, *order).select("id", "parent", "w", "lo", "size").mapInPandas(_contract_part, _CONTRACTED)
-    )
-    exits = contracted.where("is_exit")
-    # each exit's link, carried on to the exit of the fragment that it enters
-    enters = contracted.selectExpr("id as at", "exit as next", "dist as more", "low as passed", "kind as enters_kind")
-    quotient = scratch.cut(
-        exits.join(enters, F.col("parent") == F.col("at"), "left").selectExpr(
-            "id", "next as parent", "if(next is null, 0, w + more) as w", "if(next is null, id, least(lo, passed)) as lo", "total as size", "parent as at", "enters_kind",
-        )
-    )
-    # a fragment whose chain ends on a ring inside one partition is solved there: that ring is a root of its own kind
-    rings = contracted.where(f"kind = {LOOP}").selectExpr("exit as id", "ring as size", "low")
-    ring_nodes = quotient.join(rings.selectExpr("id as ring_id"), F.col("parent") == F.col("ring_id"), "left_semi").select(F.col("parent").alias("id")).distinct()
-    plain = quotient.select("id", "parent", "w", "lo", "size").unionByName(
-        ring_nodes.selectExpr("id", "cast(null as string) as parent", "cast(0 as bigint) as w", "id as lo", "cast(0 as bigint) as size")
-    )
-    m = plain.count()
-    if m > 0.7 * n:
-        solved = _double(plain, scratch)
-    else:
-        solved = _solve(plain, m, scratch, rows_per_part, None)
-    solved = scratch.cut(solved)
-    # chains that end on a local ring lie below it
-    low_of = rings.selectExpr("id as ring_id", "low as ring_low")
-    solved = solved.join(low_of, F.col("root") == F.col("ring_id"), "left").selectExpr(
-        "id", f"if(ring_low is null, kind, {BELOW}) as kind", "coalesce(ring_low, root) as root", "if(ring_low is null, depth, -2) as depth", "total"
-    )
-    solved = scratch.cut(solved)
-    note = "part, what, node, kind, root, depth, total".split(", ")
-    own = exits.select("part", "id").join(solved, "id").selectExpr("part", "'exit' as what", "id as node", "kind", "root", "depth", "total")
-    hung = (
-        quotient.where("at is not null").select("id", "at").join(solved, "id")
-        .join(contracted.selectExpr("id as at", "part"), "at")
-        .groupBy("part", "at", F.expr(f"if(kind = {LOOP}, {LOOP}, {TREE})").alias("kind"))
-        .agg(F.sum("total").alias("total"))
-        .selectExpr("part", "'hung' as what", "at as node", "kind", "cast(null as string) as root", "cast(0 as bigint) as depth", "total")
-    )
-    notes = scratch.cut(own.select(*note).unionByName(hung.select(*note)))
-    return contracted.select("part", "id", "parent", "w", "lo", "size").groupBy("part").cogroup(notes.groupBy("part")).applyInPandas(
-        lambda a, b: _expand_part(a, b), _SOLVED
-    )
+def _solve_here(nodes: pd.DataFrame) -> pd.DataFrame:
+    return _expand(nodes, pd.DataFrame({c: [] for c in ("what", "node", "kind", "root", "depth", "total")}))
 
 
-def _double(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pointer doubling, for links so scattered that partitions hold no chains: log2(depth) joins.
+def _place(level: int) -> Column:
+    """The node beside which a node is laid out: a third of all, drawn anew at each level, stay by themselves, the others go to their parent.
 
-    A node that is reached by its own jumps lies on a ring; rings and chains below them keep jumping, so the rounds
-    end once every chain that can end has ended (twice as many steps as nodes remain are then known to be rings).
+    Whether the parent has gone elsewhere isn't known here, so of a chain of scattered ids a quarter or so is joined
+    at each level; leaves of a partition vanish from the quotient in any case.
     """
-    jump = scratch.cut(nodes.selectExpr("id", "parent as at", "w as steps", "least(id, lo) as low", "cast(1 as bigint) as hops"))
-    left, reach = jump.where("at is not null").count(), 1
-    limit = left
-    while left:
-        other = jump.selectExpr("id as at", "at as next", "steps as more", "low as passed", "hops as far")
-        new = scratch.cut(
-            jump.join(other, "at", "left").selectExpr(
-                "id", "if(next is null, at, next) as at_", "steps + coalesce(more, 0) as steps", "least(low, passed) as low", "next is not null as moved", "hops + coalesce(far, 0) as hops",
-            ).withColumnRenamed("at_", "at")
-        )
-        scratch.drop(jump)
-        reach *= 2
-        now = new.where("moved").count()
-        jump = new.drop("moved")
-        if now == 0 or reach > 2 * limit:
-            break
-        left = now
-    # an id that some node still points at after more steps than there are nodes lies on a ring
-    roots = nodes.where("parent is null").selectExpr("id as r")
-    ended = jump.select("id", "at", "steps", "low").join(roots, F.expr("coalesce(at, id)") == F.col("r"), "left")
-    ended = scratch.cut(ended.selectExpr("id", "at", "steps", "low", "r"))
-    circling = ended.where("r is null")
-    on = circling.select(F.col("at").alias("id")).distinct()
-    below = circling.join(on, "id", "left_anti").selectExpr("id", f"{BELOW} as kind", "low as root", "cast(-2 as bigint) as depth", "at")
-    rings = on.join(circling, "id").selectExpr("id", f"{LOOP} as kind", "low as root", "cast(-1 as bigint) as depth", "at")
-    # beneath a ring the least id seen may lie off the ring: take it from the ring node that the chain reached
-    below = below.drop("root").join(rings.selectExpr("id as at", "root"), "at").select("id", "kind", "root", "depth", "at")
-    trees = ended.where("r is not null").selectExpr("id", f"{TREE} as kind", "r as root", "if(at is null, 0, steps) as depth", "at")
-    kinds = scratch.cut(trees.unionByName(rings).unionByName(below))
-    return _sizes(nodes, kinds, scratch)
-
-
-def _sizes(nodes: DataFrame, kinds: DataFrame, scratch: Scratch) -> DataFrame:
-    """Subtree sizes by doubling: after k rounds a node holds what lies fewer than 2**k links beneath it."""
-    rings = kinds.where(f"kind = {LOOP}").select("id", F.lit(True).alias("ring"))
-    link = nodes.select("id", "parent", "size").join(rings, "id", "left")
-    # links on a ring are cut, ring totals are summed over the ring afterwards
-    cur = scratch.cut(link.selectExpr("id", "if(ring, null, parent) as at", "size as total"))
-    while cur.where("at is not null").limit(1).count():
-        add = cur.where("at is not null").groupBy("at").agg(F.sum("total").alias("more")).withColumnRenamed("at", "id")
-        up = cur.selectExpr("id as at", "at as next")
-        new = scratch.cut(
-            cur.join(add, "id", "left").join(up, "at", "left").selectExpr("id", "next as at", "total + coalesce(more, 0) as total")
+    stays = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(level)), F.lit(2)) == 0
+    return F.when(F.col("parent").isNull() | stays("id") | ~stays("parent"), F.col("id")).otherwise(F.col("parent"))
+
+
+def _solve(nodes: DataFrame, n: int, scratch: Scratch, rows_per_part: int, level: int = 0) -> DataFrame:
+    """id, kind, root, depth, total of nodes (_NODE), of which every parent is a node too; totals are those of trees."""
+    few = min(FEW, rows_per_part) if level == 0 else rows_per_part
+    if n <= few:  # the last quotient
+        return nodes.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_solve_here, _SOLVED)
+    parts = max(-(-n // rows_per_part), min(scratch.spark.sparkContext.defaultParallelism, -(-n // few)))
+    laid = nodes.withColumn("place", _place(level)).repartitionByRange(parts, "near", "place", "id")
+    contracted = scratch.cut(laid.select(_COLUMNS).mapInPandas(_contract, _CONTRACTED))
+    pointed = contracted.where("mass > 0").groupBy("parent").agg(F.sum("mass").alias("hung")).withColumnRenamed("parent", "target")
+    quotient = scratch.cut(
+        contracted.join(pointed, F.col("id") == F.col("target")).selectExpr(
+            "id", "out as parent", "dist as w", "low as lo", "hung as size", f"if(out is null, end_kind, {TREE}) as kind", "if(out is null, end_root, id) as root", "near", "part",
         )
-        scratch.drop(cur)
-        cur = new
-    whole = kinds.where(f"kind = {LOOP}").join(cur.select("id", "total"), "id").groupBy("root").agg(F.sum("total").alias("whole"))
-    return (
-        kinds.join(cur.select("id", "total"), "id").join(whole, "root", "left")
-        .selectExpr("id", "kind", "root", "depth", f"if(kind = {LOOP}, whole, total) as total")
     )
+    solved = scratch.cut(_solve(quotient.select(_COLUMNS), quotient.count(), scratch, rows_per_part, level + 1))
+    leaving = contracted.where("mass > 0").select("part", F.col("parent").alias("id")).distinct().join(solved, "id").withColumn("what", F.lit("out"))
+    entered = quotient.select("part", "id").join(solved, "id").withColumn("what", F.lit("in"))
+    notes = leaving.unionByName(entered).select(F.col("part").alias("of"), "what", F.col("id").alias("node"), "kind", "root", "depth", "total")
+    return contracted.select("part", *_COLUMNS).groupBy("part").cogroup(notes.groupBy("of")).applyInPandas(lambda a, b: _expand(a, b), _SOLVED)
 
 
 def latest_pages(rows: DataFrame, node: str, parent: str, version: str, near: str | None = None) -> DataFrame:
@@ -288,13 +190,15 @@ def hierarchy(links: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame
     known = links.select(F.col("id").alias("pid"))
     nodes = scratch.cut(
         links.join(known, F.col("parent") == F.col("pid"), "left").selectExpr(
-            "id", "pid as parent", "cast(if(pid is null, 0, 1) as bigint) as w", "coalesce(pid, id) as lo", "cast(1 as bigint) as size", "coalesce(near, '') as near",
+            "id", "pid as parent", "cast(if(pid is null, 0, 1) as bigint) as w", "id as lo", "cast(1 as bigint) as size", f"{TREE} as kind", "id as root", "coalesce(near, '') as near",
         )
     )
-    solved = _solve(nodes, nodes.count(), scratch, rows_per_part, "near")
-    return solved.selectExpr(
-        "id as document_id", "root as root_id", "cast(depth as int) as tree_depth", "cast(total - 1 as bigint) as n_descendants"
-    )
+    solved = scratch.cut(_solve(nodes, nodes.count(), scratch, rows_per_part))
+    # every page of a loop has all others of the loop and all that lies beneath it
+    whole = solved.where(f"kind <> {TREE}").groupBy("root").agg(F.count("*").alias("whole"))
+    loops = solved.where(f"kind = {LOOP}").join(whole, "root").selectExpr("id", "root", "depth", "whole as total")
+    out = solved.where(f"kind <> {LOOP}").select("id", "root", "depth", "total").unionByName(loops)
+    return out.selectExpr("id as document_id", "root as root_id", "cast(depth as int) as tree_depth", "cast(total - 1 as bigint) as n_descendants")
 
 
 def paths(links: DataFrame, solved: DataFrame, sep: str = " > ", max_rounds: int = 64) -> DataFrame:
@@ -349,14 +253,3 @@ def all_descendants(links: DataFrame, solved: DataFrame, max_rounds: int = 64) -
     return upwards.selectExpr("document_id", "descendant_id", "n - 1 - i as levels").unionByName(
         round_.selectExpr("document_id", "descendant_id", "length + size(way) - 1 - place as levels")
     )
-
-
-def descendants(paths_of: DataFrame, sep: str = " > ") -> DataFrame:
-    """document_id, descendant_id, levels: every pair of a node and one beneath it on its path.
-
-    Paths start at the loop, so the loop's other pages are missing, and ids must not hold ``sep``: see ``all_descendants``.
-    """
-    parts = F.split("path", f"\\Q{sep}\\E")
-    p = paths_of.select(F.col("document_id").alias("descendant_id"), F.posexplode(parts).alias("i", "document_id"), F.size(parts).alias("n"))
-    return p.where("document_id <> descendant_id").selectExpr("document_id", "descendant_id", "n - 1 - i as levels")
-

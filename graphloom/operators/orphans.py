@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.scratch import Scratch
 
-#: Size bound of the broadcast filter: 2**23 bits are 1 MB, whatever the number of parent keys.
-MAX_FILTER_BITS = 1 << 23
+#: Size bound of one broadcast filter: 2**27 bits are 16 MB. Keys beyond BITS_PER_KEY of them are divided into shards.
+MAX_FILTER_BITS, BITS_PER_KEY = 1 << 27, 10
 HASHES = 4
 
 
@@ -42,7 +42,7 @@ def _bits(key: Column, n_bits: int) -> list[Column]:
 def bloom_words(keys: DataFrame, n_bits: int) -> DataFrame:
     """One row with the filter as an array of 64-bit words; partial ORs run before the only shuffle.
 
-    The array has n_bits / 64 longs, so its size is bounded by ``MAX_FILTER_BITS`` and not by the keys.
+    The array has n_bits / 64 longs, whatever the number of keys.
     """
     words = keys.select(F.explode(F.array(*_bits(F.col("key"), n_bits))).alias("bit")).select(
         F.expr("bit div 64").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("v")
@@ -70,12 +70,36 @@ def key_states(ref: Reference) -> DataFrame:
     return p.groupBy("key").agg(F.min("at").alias("first"), last["gone"].alias("deleted"))
 
 
-def _filter_bits(n_keys: int) -> int:
-    want = 1 << max(12, (10 * max(n_keys, 1) - 1).bit_length())
-    return min(want, MAX_FILTER_BITS)
+def filter_bits(n_keys: int) -> int:
+    """Bits of a filter for so many keys: a power of two with BITS_PER_KEY for each, so 1 in 80 others passes."""
+    return min(1 << max(12, (BITS_PER_KEY * max(n_keys, 1) - 1).bit_length()), MAX_FILTER_BITS)
 
 
-def orphan_references(refs: list[Reference], n_bits: int | None = None) -> DataFrame:
+def mark(rows: DataFrame, column: str, keys: DataFrame, scratch: Scratch, most: int = MAX_FILTER_BITS, n_bits: int | None = None) -> DataFrame:
+    """``rows``, written once, with ``maybe``: false if their non-null ``column`` certainly isn't among ``keys`` (key).
+
+    The filter is broadcast. If it would take more than ``most`` bits, keys and rows are divided by a hash of the key
+    into shards with a filter of at most that size each; the rows are written by shard, so each is read once with the
+    one filter it needs, and the share of others that pass stays the same for any number of keys.
+    """
+    n = keys.select(F.approx_count_distinct("key")).first()[0]
+    shards = 1 if n_bits else max(1, -(-BITS_PER_KEY * n // most))
+    if shards == 1:
+        bits = n_bits or min(filter_bits(n), most)
+        bloom = scratch.cut(bloom_words(keys, bits))
+        return scratch.cut(rows.withColumn("maybe", might_contain(F.col(column), bloom.scalar(), bits)))
+    shard = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(2)), F.lit(shards)).cast("int").alias("_shard")
+    by_row = scratch.cut(rows.withColumn("_shard", shard(column)), partition_by="_shard")
+    by_key = scratch.cut(keys.withColumn("_shard", shard("key")), partition_by="_shard")
+    out = None
+    for k in range(shards):
+        bloom = scratch.cut(bloom_words(by_key.where(F.col("_shard") == k).select("key"), most))
+        part = by_row.where(F.col("_shard") == k).drop("_shard").withColumn("maybe", might_contain(F.col(column), bloom.scalar(), most))
+        out = part if out is None else out.unionByName(part)
+    return scratch.cut(out)
+
+
+def orphan_references(refs: list[Reference], n_bits: int | None = None, most: int = MAX_FILTER_BITS) -> DataFrame:
     """Distinct orphan references: ref_table, ref_column, ref_key, ref_month, reason.
 
     reason is ``missing`` (no row has the key), ``deleted`` (the key's latest row is a deletion) or ``late`` (the key
@@ -84,8 +108,8 @@ def orphan_references(refs: list[Reference], n_bits: int | None = None) -> DataF
 
     Hot keys: references are first reduced to (key, month, earliest load) with partial aggregation, which keeps the
     result whole, since a key is late in a month exactly if its earliest reference of that month is. A Bloom filter
-    of the parent keys, broadcast at a fixed size, proves most missing keys without a shuffle; only positives
-    are joined with the exact key states. ``n_bits`` overrides the size of the filter.
+    of the parent keys, broadcast in shards of at most ``most`` bits, proves nearly all missing keys without a shuffle;
+    only positives are joined with the exact key states. ``n_bits`` sets the size of a single filter instead.
     """
     out = None
     scratch = Scratch(refs[0].child.sparkSession, "orphans") if refs else None
@@ -109,10 +133,8 @@ def orphan_references(refs: list[Reference], n_bits: int | None = None) -> DataF
         )
         first = group[0]
         keys = first.parent.select(key_form(F.col(first.key)).alias("key")).where("key is not null")
-        bits = n_bits or _filter_bits(keys.select(F.approx_count_distinct("key")).first()[0])
-        bloom = scratch.cut(bloom_words(keys, bits))
         # both branches read the marked references, so these are written once instead of being made twice
-        marked = scratch.cut(keyed.withColumn("maybe", might_contain(F.col("ref_key"), bloom.scalar(), bits)))
+        marked = mark(keyed, "ref_key", keys, scratch, most, n_bits)
         cols = ("ref_table", "ref_column", "ref_key", "ref_month", "reason")
         sure = marked.where(~F.col("maybe")).withColumn("reason", F.lit("missing")).select(*cols)
         reason = (

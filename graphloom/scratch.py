@@ -11,8 +11,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="graphloom-")
     atexit.register(shutil.rmtree, own, True)
@@ -28,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-_BASES: list[str] = []
+_BASES: list[list[str]] = [[]]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -37,9 +40,20 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete all scratch tables of this process, once the results that read them are written."""
-    while _BASES:
-        _delete(spark, _BASES.pop())
+    """Delete the scratch tables made since the innermost ``freed`` began, once the results that read them are written."""
+    while _BASES[-1]:
+        _delete(spark, _BASES[-1].pop())
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the scratch tables that are made inside, and no others; inside, the caller writes the results."""
+    _BASES.append([])
+    try:
+        yield
+    finally:
+        clear(spark)
+        _BASES.pop()
 
 
 class Scratch:
@@ -47,16 +61,24 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        _BASES.append(self.base)
+        _BASES[-1].append(self.base)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        """``df`` written and read back; with ``partition_by`` in a folder for each value of that column."""
         path = f"{self.base}/{self.n}"
         self.n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out
 
+    def cut_state(self, df: DataFrame, *columns: str) -> tuple[DataFrame, tuple]:
+        """``cut``, and with the same job the number of rows and checksums over the columns, to tell equal tables by."""
+        h, seen = F.xxhash64(*columns), Observation()
+        out = self.cut(df.observe(seen, F.count("*").alias("n"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"), F.bit_xor(h).alias("x")))
+        return out, (seen.get["n"], seen.get["s"], seen.get["x"])
+
     def drop(self, df: DataFrame | None) -> None:
         if df is not None and "_scratch" in vars(df):
             _delete(self.spark, vars(df).pop("_scratch"))

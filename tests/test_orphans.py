@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 from graphloom.operators import orphans as O
+from graphloom.scratch import Scratch
 
 
 def day(n):
@@ -53,8 +54,18 @@ def test_random_references(spark):
     expected = model(refs, keys)
     assert {r[4] for r in expected} == {"missing", "deleted", "late"}
     for bits in (None, 64):  # with a filter this small nearly every key is a false positive
-        got = [tuple(r) for r in O.orphan_references(frames(spark, refs, keys), bits).collect()]
-        assert len(got) == len(set(got)) and set(got) == expected
+        for most in (O.MAX_FILTER_BITS, 128):  # 128: some four shards
+            got = [tuple(r) for r in O.orphan_references(frames(spark, refs, keys), bits, most).collect()]
+            assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_shards_keep_the_rate_of_false_positives(spark):
+    keys = spark.range(20_000).selectExpr("cast(id as string) as key")
+    rows = spark.range(30_000).selectExpr("cast(id as string) as k").unionByName(spark.createDataFrame([(None,)], "k string"))
+    for most in (O.MAX_FILTER_BITS, 1 << 15):  # one filter, and seven
+        marked = O.mark(rows, "k", keys, Scratch(spark, "t"), most)
+        assert marked.count() == 30_001 and marked.where("maybe and cast(k as int) < 20000").count() == 20_000
+        assert marked.where("maybe and cast(k as int) >= 20000").count() < 0.05 * 10_000
 
 
 def test_empty_tables(spark):

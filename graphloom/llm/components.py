@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from graphloom.scratch import Scratch
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and checksum of an edge set, to see when it stops changing."""
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(h, F.lit(1 << 31))), F.bit_xor(h)).first())
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above u is linked to the least of u and its neighbours."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
@@ -40,14 +34,14 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_round
     scratch = Scratch(pairs.sparkSession, "components")
     given = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     lone = given.where("a = b").select(F.col("a").alias("id")).distinct()
-    edges = scratch.cut(given.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = _state(edges)
+    links = given.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, seen = scratch.cut_state(links, "a", "b")
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        new = scratch.cut(_small_star(_large_star(edges)))
+        new, now = scratch.cut_state(_small_star(_large_star(edges)), "a", "b")
         scratch.drop(edges)
-        edges, now = new, _state(new)
+        edges = new
         if now == seen:
             break
         seen = now

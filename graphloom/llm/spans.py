@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.orphans import MAX_FILTER_BITS, bloom_words, might_contain
+from graphloom.operators.orphans import BITS_PER_KEY, MAX_FILTER_BITS, bloom_words, filter_bits, might_contain
 from graphloom.scratch import Scratch
 
 SPAN = 300
@@ -24,6 +24,8 @@ SPAN = 300
 GRAM = 64
 #: Characters handled at once, and the length of the slices of giant texts.
 BLOCK = 1 << 20
+#: Distance of the positions of a key's texts, more than any text is long.
+BASE = 1 << 32
 #: Chunks of one cut point that a single task compares; larger groups are compared by distributed aggregation.
 HOT = 5_000
 _POS = np.uint64(24)
@@ -114,12 +116,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
     """Ids, texts and offsets of about BLOCK characters at a time; longer texts in slices that overlap by a window."""
     ids, texts, offsets, size = [], [], [], 0
     for batch in batches:
-        for key, text, span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, base, text, span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for a in range(0, max(1, len(text) - span + 1), BLOCK):
                 part = text if len(text) <= BLOCK else text[a : a + BLOCK + span - 1]
                 ids.append(key)
                 texts.append(part)
-                offsets.append(a)
+                offsets.append(base + a)
                 size += len(part)
                 if size >= BLOCK // 2:
                     yield ids, texts, offsets
@@ -138,14 +140,14 @@ def _chunker(span: int):
                 rows = np.asarray(ids, dtype=np.int64)[text], first + np.asarray(offsets, dtype=np.int64)[text], count
                 whole = [np.ascontiguousarray(x).view(np.int64) for x in (cut, digest, left, right)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2].astype(np.int32)), *map(pa.array, whole)],
+                    [pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), *map(pa.array, whole)],
                     names=["doc", "first", "n", "cut", "digest", "left", "right"],
                 )
 
     return run
 
 
-_CHUNK = "doc bigint, first int, n int, cut bigint, digest bigint, left bigint, right bigint"
+_CHUNK = "doc bigint, first bigint, n int, cut bigint, digest bigint, left bigint, right bigint"
 
 
 def _windows(texts: list[str], counts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,35 +216,54 @@ def _window_rows(span: int):
     return run
 
 
-def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, hot: int = HOT) -> DataFrame:
+def _numbered(given: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc, base, text of ``given``, and doc, base, d, n of all: base is 0, or, where a key has several texts, BASE times the text's number."""
+    own = given.select("doc", F.md5("text").alias("d"), F.char_length("text").alias("n"))
+    several = scratch.cut(own.groupBy("doc").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("doc"))
+    if not several.limit(1).count():
+        zero = F.lit(0).cast("bigint").alias("base")
+        return given.select("doc", zero, "text"), own.select("doc", zero, "d", "n")
+    number = F.row_number().over(Window.partitionBy("doc").orderBy("d")) - 1
+    bases = scratch.cut(own.join(several, "doc", "left_semi").select("doc", "d").distinct().select("doc", "d", (number.cast("bigint") * BASE).alias("base")))
+    both = []
+    for rows in (given.withColumn("d", F.md5("text")), own):
+        one = rows.join(several, "doc", "left_anti").withColumn("base", F.lit(0).cast("bigint"))
+        both.append(one.unionByName(rows.join(bases, ["doc", "d"]).select(one.columns)))
+    return both[0].select("doc", "base", "text"), both[1].select("doc", "base", "d", "n")
+
+
+def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, hot: int = HOT, most: int = MAX_FILTER_BITS) -> DataFrame:
     """doc, start, end (characters from 0, end excluded): all text that stands in spans of ``span`` characters or more
     which another key's text holds too; pieces of one text may overlap. Exact copies of a text have one row each, over
-    all of it. Keys are bigint; rows with a null key or text, and texts under ``span`` characters, have no row; rows
-    repeated under one key share nothing with each other. An empty table gives an empty result.
+    all of it. Keys are bigint; rows with a null key or text, and texts under ``span`` characters, have no row. A key
+    may have several texts, which share nothing with each other; the characters of its second, in order of their md5,
+    are counted from BASE, and so on. A row repeated counts once. An empty table gives an empty result.
+
+    Filters of at most ``most`` bits are broadcast to move only what may be shared; where they would take more, the same
+    is found by joins.
     """
     if span < 2 * GRAM:
         raise ValueError(f"span must be at least {2 * GRAM}")
     scratch = Scratch(docs.sparkSession, "spans")
     given = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(f"doc is not null and char_length(text) >= {span}")
-    # exact copies are one text from here on; only digests are shuffled
-    copies = scratch.cut(
-        given.select("doc", F.md5("text").alias("d"), F.char_length("text").alias("n")).groupBy("d")
-        .agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.max("n").alias("n"))
-    )
-    several = copies.where("doc <> other")
-    others = (
-        given.select("doc", F.md5("text").alias("d")).join(several.select("d", F.col("doc").alias("kept")), "d")
-        .where("doc <> kept").select("doc").distinct()
-    )
-    kept = given.join(scratch.cut(others), "doc", "left_anti")
+    given, own = _numbered(given, scratch)
+    # of exact copies two are searched, those of the least and the greatest key; only keys and digests are shuffled
+    copies = own.groupBy("d").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    copied = scratch.cut(own.join(copies.where("first <> last"), "d").select("doc", "base", "n", F.expr("doc = first or doc = last").alias("searched")).distinct())
+    kept = given.join(copied.where("not searched"), ["doc", "base"], "left_anti")
     width = F.lit(span).alias("span")
-    chunks = scratch.cut(kept.select("doc", "text", width).mapInArrow(_chunker(span), _CHUNK))
+    chunks = scratch.cut(kept.select("doc", "base", "text", width).mapInArrow(_chunker(span), _CHUNK))
     keys = chunks.select("doc", F.explode(F.array("left", "right")).alias("key")).where("key <> 0")
-    twice = scratch.cut(keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key"))
-    # a filter of fixed size drops the rest without moving it; what passes by chance is compared like all others
-    bits = min(MAX_FILTER_BITS, 1 << max(12, (12 * twice.count()).bit_length()))
-    bloom = scratch.cut(bloom_words(twice, bits))
-    near = chunks.where(might_contain(F.col("left"), bloom.scalar(), bits) | might_contain(F.col("right"), bloom.scalar(), bits)).select("doc", "first", "n", "cut", "digest")
+    twice, (n_twice, *_) = scratch.cut_state(keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key"), "key")
+    cols = ["doc", "first", "n", "cut", "digest"]
+    if BITS_PER_KEY * n_twice <= most:
+        # drops the rest without moving it; what passes by chance is compared like all others
+        bits = filter_bits(n_twice)
+        bloom = scratch.cut(bloom_words(twice, bits))
+        near = chunks.where(might_contain(F.col("left"), bloom.scalar(), bits) | might_contain(F.col("right"), bloom.scalar(), bits)).select(cols)
+    else:
+        sides = chunks.select(*cols, F.explode(F.array("left", "right")).alias("key")).where("key <> 0")
+        near = sides.join(twice, "key", "left_semi").select(cols).distinct()
     near = scratch.cut(near)
     scratch.drop(chunks)
     kinds = near.groupBy("cut", "digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "first")).alias("one"), F.max("n").alias("n"))
@@ -250,22 +271,52 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     # cut points with one kind of chunk are settled by its digest
     per_cut = kinds.groupBy("cut").agg(F.count("*").alias("kinds"), F.min("lo").alias("l"), F.max("hi").alias("h"))
     unsettled = per_cut.where("kinds > 1 and l <> h").join(kinds.where("lo = hi").select("cut").distinct(), "cut", "left_semi").select("cut", "kinds")
-    compare = scratch.cut(kinds.join(unsettled, "cut"))
-    doc_bits = min(MAX_FILTER_BITS, 1 << max(12, (12 * compare.count()).bit_length()))
-    doc_bloom = scratch.cut(bloom_words(compare.select(F.col("doc").alias("key")), doc_bits))
-    texts = kept.where(might_contain(F.col("doc"), doc_bloom.scalar(), doc_bits))
-    pieces = compare.join(texts, "doc").select("cut", "digest", "lo", "hi", "n", F.expr(f"substring(text, first + 1, n + {span - 1})").alias("text"), "kinds")
+    compare, (n_compare, *_) = scratch.cut_state(kinds.join(unsettled, "cut").withColumn("base", F.expr(f"first - first % {BASE}")), "digest")
+    texts = kept
+    if BITS_PER_KEY * n_compare <= most:
+        doc_bits = filter_bits(n_compare)
+        doc_bloom = scratch.cut(bloom_words(compare.select(F.col("doc").alias("key")), doc_bits))
+        texts = kept.where(might_contain(F.col("doc"), doc_bloom.scalar(), doc_bits))
+    settled = _settle(compare, texts, span, hot, scratch)
+    whole = kinds.where("lo <> hi").selectExpr("cut", "digest", "0 as a", "n - 1 as b")
+    found = near.join(whole.unionByName(settled), ["cut", "digest"]).selectExpr("doc", "first - first % {0} as base".format(BASE), "first + a as start", f"first + b + {span} as end")
+    found = found.join(copied.select("doc", "base"), ["doc", "base"], "left_anti").select("doc", "start", "end")
+    return found.unionByName(copied.selectExpr("doc", "base as start", "base + n as end"))
+
+
+def _settle(compare: DataFrame, texts: DataFrame, span: int, hot: int, scratch: Scratch) -> DataFrame:
+    """cut, digest, a, b: the runs of windows that chunks of one cut point share with another key's.
+
+    Each text meets the list of its chunks in one row, and is read once for all of them.
+    """
+    wanted = compare.groupBy("doc", "base").agg(F.collect_list(F.struct("cut", "digest", "lo", "hi", "first", "n", "kinds")).alias("x"))
+    once = texts.dropDuplicates(["doc", "base"])  # by the join's keys, so nothing is moved twice
+    pieces = wanted.join(once, ["doc", "base"]).select("base", "text", "x").mapInArrow(_piece_cutter(span), _PIECE)
     few = pieces.where(F.col("kinds") <= hot).drop("kinds").repartition("cut").sortWithinPartitions("cut")
     settled = few.mapInArrow(_comparer(span), "cut bigint, digest bigint, a int, b int")
     if compare.where(F.col("kinds") > hot).limit(1).count():
         rows = scratch.cut(pieces.where(F.col("kinds") > hot).drop("kinds").mapInArrow(_window_rows(span), "cut bigint, digest bigint, lo bigint, hi bigint, at int, h bigint"))
         met = rows.groupBy("h").agg(F.min("lo").alias("l"), F.max("hi").alias("u")).where("l <> u").select("h")
         settled = settled.unionByName(rows.join(met, "h", "left_semi").selectExpr("cut", "digest", "at as a", "at as b"))
-    whole = kinds.where("lo <> hi").selectExpr("cut", "digest", "0 as a", "n - 1 as b")
-    found = near.join(whole.unionByName(settled), ["cut", "digest"]).selectExpr("doc", "first + a as start", f"first + b + {span} as end")
-    found = found.join(several.select("doc"), "doc", "left_anti")
-    copied = given.select("doc", F.md5("text").alias("d"), F.char_length("text").alias("n")).join(several.select("d"), "d", "left_semi")
-    return found.unionByName(copied.selectExpr("doc", "0 as start", "n as end").distinct())
+    return settled
+
+
+_PIECE = "cut bigint, digest bigint, lo bigint, hi bigint, n int, text string, kinds bigint"
+
+
+def _piece_cutter(span: int):
+    """The texts of the listed chunks, each row's text decoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _PIECE.split(", ")]
+        types = (*[pa.int64()] * 4, pa.int32(), pa.string(), pa.int64())
+        for batch in batches:
+            for base, text, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for s in range(0, len(chunks), 2000):
+                    rows = [(c["cut"], c["digest"], c["lo"], c["hi"], c["n"], text[c["first"] - base : c["first"] - base + c["n"] + span - 1], c["kinds"]) for c in chunks[s : s + 2000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return run
 
 
 def shared_lengths(spans: DataFrame) -> DataFrame:

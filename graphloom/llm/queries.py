@@ -45,7 +45,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.items_of(_table(spark, sf, "markdown"), "markdown", "document_id", "markdown", True).unionByName(
-        pieces.items_of(_table(spark, sf, "chunks"), "chunks", "chunk_id", "content", False)
+        pieces.items_of(_table(spark, sf, "chunks"), "chunks", "chunk_id", "content", False, "section_path")
     )
 
 
@@ -67,9 +67,9 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     parts = scratch.cut(pieces.section_paths(pieces.sections(items.where(F.char_length("text") > 1200))))
     large = parts.where(F.col("words") > pieces.words_within(pieces.MAX_TOKENS))
     split = pieces.split_sections(items, large.select("item", "section_no", "body", "end", "words"))
-    names = items.select("item_table", "item_key", "item").distinct()
-    given = _table(spark, sf, "chunks").groupBy(F.col("chunk_id").alias("item_key")).agg(F.max("section_path").alias("given")).withColumn("item_table", F.lit("chunks"))
-    out = split.join(names, "item").join(large.select("item", "section_no", "section_path"), ["item", "section_no"]).join(given, ["item_table", "item_key"], "left")
+    # of a text's rows under one key the greatest path counts
+    names = items.groupBy("item_table", "item_key", "item").agg(F.max("path").alias("given"))
+    out = split.join(names, "item").join(large.select("item", "section_no", "section_path"), ["item", "section_no"])
     path = F.when(F.col("item_table") == "chunks", F.col("given")).otherwise(F.col("section_path"))
     return out.select("item_table", _item_key(), "item", "piece_no", path.alias("section_path"), "token_count", "content")
 

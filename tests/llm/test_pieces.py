@@ -42,6 +42,18 @@ def test_sections_by_range_equal_the_whole_text(spark):
     assert len(got) == len(expected)
 
 
+def test_titles_and_words_longer_than_ranges(spark):
+    title = "a very long title of many words " * 20
+    rows = [("a", f"x y\n## {title}\nbody of it\n# B\nend"), ("b", "z" * 500 + " and\n" + "# " + "q" * 300)]
+    got = {(r[0], r[1]): (r[2], r[3]) for r in P.section_paths(P.sections(items(spark, rows), length=50, halo=10)).select("item", "section_no", "section_path", "words").collect()}
+    assert got == {("a", 0): ("", 2), ("a", 1): (title.strip(), 3), ("a", 2): ("B", 1), ("b", 0): ("", 2), ("b", 1): ("q" * 300, 0)}
+    rows = [("a", " ".join(["w" * 130] * 30))]
+    large = P.sections(items(spark, rows), length=100, halo=20).select("item", "section_no", "body", "end", "words")
+    pieces = sorted(P.split_sections(items(spark, rows), large, max_tokens=8, overlap_tokens=2, length=100, halo=20).collect(), key=lambda r: r.piece_no)
+    assert all(len(words(r.content)) * 4 // 3 == r.token_count <= 8 for r in pieces) and pieces[0].start == 0 and pieces[-1].end == len(rows[0][1])
+    assert all(a.start < b.start <= a.end for a, b in zip(pieces, pieces[1:], strict=False)) and all(set(r.content) == {"w", " "} for r in pieces)
+
+
 def test_unsectioned_items_and_empty_tables(spark):
     df = spark.createDataFrame([("a", "# x\ny z", False)], "item string, text string, sectioned boolean")
     assert [(r.section_no, r.words) for r in P.sections(df).collect()] == [(0, 4)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,16 +109,17 @@ def pack(items: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVER
     return F.aggregate(items, start, step, finish)
 
 
-def chunk_documents(docs: DataFrame, key: str = "document_id", text: str = "markdown", max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, min_tokens: int = 0) -> DataFrame:
+def chunk_documents(docs: DataFrame, key: str = "document_id", text: str = "markdown", max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, min_tokens: int = 0, count: Callable[[Column], Column] = token_count) -> DataFrame:
     """T-3, T-6, T-7: chunk_id, document, section_path, content, token_count of all documents.
 
     Chunks never span sections and are numbered through a document. A section without a path is named after its
     document. Documents without a block, null or empty ones have no chunk. Keys are unique and not null. With
-    ``min_tokens`` smaller chunks are left out. The text is shuffled once, by document.
+    ``min_tokens`` smaller chunks are left out. T-1: ``count`` gives the tokens of a text column, such as a pandas_udf
+    over a tokenizer; the word rule by default.
     """
-    b = blocks(docs, key, text)
+    b = blocks(docs, key, text).withColumn("tokens", count(F.col("block")))
     items = F.transform(
-        F.array_sort(F.collect_list(F.struct("block_no", "block"))), lambda x: F.struct(x["block"].alias("block"), token_count(x["block"]).alias("tokens"))
+        F.array_sort(F.collect_list(F.struct("block_no", "block", "tokens"))), lambda x: F.struct(x["block"].alias("block"), x["tokens"].alias("tokens"))
     )
     per_section = b.groupBy("document_id", "section_no").agg(items.alias("items"), F.first("section").alias("section"))
     packed = per_section.select("document_id", "section_no", "section", F.posexplode(pack(F.col("items"), max_tokens, overlap_tokens)).alias("k", "parts"))
@@ -127,5 +130,5 @@ def chunk_documents(docs: DataFrame, key: str = "document_id", text: str = "mark
         F.col("document_id").alias("document"),
         F.coalesce(F.nullif(F.array_join("section", PATH_SEPARATOR), F.lit("")), F.col("document_id").cast("string")).alias("section_path"),
         content.alias("content"),
-    ).withColumn("token_count", token_count(F.col("content")))
+    ).withColumn("token_count", count(F.col("content")))
     return out.where(F.col("token_count") >= min_tokens) if min_tokens else out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import occurrences, sentences, strip
@@ -22,38 +22,36 @@ def trigger_spans(sents: DataFrame, ontology: Ontology) -> DataFrame:
 
     The triggers are literals, so sentences without one are dropped before anything is joined.
     """
-    known = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("words")) for kind, t in ontology.triggers])
+    known = _triggers(ontology)
     low = sents.select(*_CHUNK, "sentence_no", F.lower("sentence").alias("low"))
     hit = low.select("*", F.explode(F.filter(known, lambda t: F.instr(F.col("low"), t["words"]) > 0)).alias("t"))
     spans = hit.select(*_CHUNK, "sentence_no", "low", "t.kind", "t.words", F.explode(occurrences(F.col("low"), F.col("t.words"))).alias("start"))
     return spans.select(*_CHUNK, "sentence_no", "low", "kind", "start", (F.col("start") + F.char_length("words")).alias("end"))
 
 
-def positions(sents: DataFrame, found: DataFrame, ents: DataFrame) -> DataFrame:
-    """Document, chunk_id, sentence_no, entity_id, seq, at: first place of each entity of the chunk in its sentences.
+def _triggers(ontology: Ontology) -> Column:
+    return F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("words")) for kind, t in ontology.triggers])
 
-    found: chunk_id, document, entity_id, pos (mentions); ents: id, name (one row an id). Sentences with fewer than two
-    entities are dropped. Joined on the chunk, with the names as the only residual.
-    """
-    named = found.join(ents.select(F.col("id").alias("entity_id"), "name"), "entity_id").select("chunk_id", "entity_id", F.col("pos").alias("seq"), F.lower("name").alias("n"))
-    hit = sents.join(named, "chunk_id").withColumn("at", F.expr("instr(lower(sentence), n) - 1")).where("at >= 0")
-    per = hit.groupBy(*_CHUNK, "sentence_no").agg(F.count("*").alias("n_present")).where("n_present > 1")
-    return hit.join(per, ["document", "chunk_id", "sentence_no"]).select(*_CHUNK, "sentence_no", "entity_id", "seq", "at")
+
+def _located(sents: DataFrame, found: DataFrame, ents: DataFrame) -> DataFrame:
+    """Sentences (with ``low``, their lower case) beside ``places``: an array of (entity_id, seq, at) of the chunk's entities
+    that they name; those with fewer than two are dropped. A sentence meets its chunk's names in one row."""
+    named = found.join(ents.select(F.col("id").alias("entity_id"), F.lower("name").alias("n")), "entity_id")
+    names = named.groupBy("chunk_id").agg(F.collect_list(F.struct("entity_id", F.col("pos").alias("seq"), "n")).alias("names")).where("size(names) > 1")
+    at = F.transform("names", lambda x: F.struct(x["entity_id"].alias("entity_id"), x["seq"].alias("seq"), (F.instr(F.col("low"), x["n"]) - 1).alias("at")))
+    # made by a generator of one row, so that the filter above it doesn't make it again
+    once = F.explode(F.array(F.filter(at, lambda x: x["at"] >= 0))).alias("places")
+    return sents.join(names, "chunk_id").select(*sents.columns, once).where("size(places) > 1")
 
 
-def nearest_pairs(spans: DataFrame, places: DataFrame) -> DataFrame:
-    """Source, relationship, target of each trigger occurrence: the entity that starts last before it and first after it.
+def positions(sents: DataFrame, found: DataFrame, ents: DataFrame) -> DataFrame:
+    """Document, chunk_id, sentence_no, entity_id, seq, at: first place of each entity of the chunk in its sentences.
 
-    Of equal starts the one mentioned first counts; an entity isn't related to itself.
+    found: chunk_id, document, entity_id, pos (mentions); ents: id, name (one row an id). Sentences with fewer than two
+    entities are dropped.
     """
-    both = spans.drop("low").join(places, ["document", "chunk_id", "sentence_no"])
-    source = F.max_by("entity_id", F.when(F.col("at") < F.col("start"), F.struct("at", (-F.col("seq")).alias("s"), "entity_id")))
-    target = F.min_by("entity_id", F.when(F.col("at") >= F.col("end"), F.struct("at", "seq", "entity_id")))
-    pairs = both.groupBy(*_CHUNK, "sentence_no", "kind", "start", "end").agg(
-        source.alias("source"), target.alias("target"),
-        F.bool_or(F.col("at") < F.col("start")).alias("has_source"), F.bool_or(F.col("at") >= F.col("end")).alias("has_target"),
-    )
-    return pairs.where("has_source and has_target and source <> target").select(*_CHUNK, F.col("sentence_no"), "source", F.col("kind").alias("relationship"), "target")
+    low = sents.select(*_CHUNK, "sentence_no", F.lower("sentence").alias("low"))
+    return _located(low, found, ents).select(*_CHUNK, "sentence_no", F.inline("places"))
 
 
 def first_triples(rows: DataFrame) -> DataFrame:
@@ -66,11 +64,25 @@ def first_triples(rows: DataFrame) -> DataFrame:
 def extract_relationships(chunks: DataFrame, ents: DataFrame, found: DataFrame, ontology: Ontology | None = None) -> DataFrame:
     """Relationships of chunks (chunk_id, document, content) between their mentioned entities.
 
-    Only the ids, sentences with a trigger and names meet in a shuffle, by chunk.
+    R4: source and target of a trigger are the entity that starts last before it and the one that starts first after
+    it; of equal starts the one mentioned first counts; an entity isn't related to itself. Only sentences with a trigger
+    meet the names, by chunk; all else happens within a sentence's row.
     """
-    sents = chunk_sentences(chunks)
-    spans = trigger_spans(sents, ontology or Ontology())
-    return first_triples(nearest_pairs(spans, positions(sents, found, ents)))
+    known = _triggers(ontology or Ontology())
+    low = chunk_sentences(chunks).select(*_CHUNK, "sentence_no", F.explode(F.array(F.lower("sentence"))).alias("low"))
+    hit = low.where(F.exists(known, lambda t: F.instr(F.col("low"), t["words"]) > 0))
+    placed = _located(hit, found, ents)
+    spans = F.flatten(
+        F.transform(
+            F.filter(known, lambda t: F.instr(F.col("low"), t["words"]) > 0),
+            lambda t: F.transform(occurrences(F.col("low"), t["words"]), lambda s: F.struct(t["kind"].alias("kind"), s.alias("start"), (s + F.char_length(t["words"])).alias("end"))),
+        )
+    )
+    each = placed.select(*_CHUNK, "places", F.explode(spans).alias("span"))
+    before = F.array_max(F.transform(F.filter("places", lambda x: x["at"] < F.col("span.start")), lambda x: F.struct(x["at"].alias("at"), (-x["seq"]).alias("s"), x["entity_id"].alias("id"))))
+    after = F.array_min(F.transform(F.filter("places", lambda x: x["at"] >= F.col("span.end")), lambda x: F.struct(x["at"].alias("at"), x["seq"].alias("s"), x["entity_id"].alias("id"))))
+    pairs = each.select(*_CHUNK, F.col("span.kind").alias("relationship"), F.explode(F.array(F.struct(before["id"].alias("source"), after["id"].alias("target")))).alias("p"))
+    return first_triples(pairs.where("p.source <> p.target").select(*_CHUNK, "p.source", "relationship", "p.target"))
 
 
 def model_relationships(parsed: DataFrame, named: DataFrame, ontology: Ontology) -> DataFrame:

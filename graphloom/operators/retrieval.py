@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.scratch import Scratch
+
 MAX_HOPS, MAX_LIMIT, MAX_QUERY = 3, 100, 4000
 # The texts of the context.
 NOTHING = "No approved knowledge graph content was found for this query."
@@ -109,9 +111,7 @@ def trails(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False
 
 def _walks(edges: DataFrame, start: DataFrame, hops: int, directed: bool) -> DataFrame:
     """source_id, at, labels, used: the trails from ``start`` (source_id), wherever they end."""
-    numbered = edges.select("a", "b", "label").where("a is not null and b is not null").withColumn("edge", F.xxhash64("a", "b", "label"))
-    numbered = numbered.withColumn("edge", F.struct("edge", F.row_number().over(Window.partitionBy("a", "b", "label").orderBy("edge"))))
-    steps = numbered if directed else numbered.unionByName(numbered.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "label", "edge"))
+    steps = _steps(edges, directed)
     front = start.join(steps, F.col("source_id") == F.col("a")).select("source_id", F.col("b").alias("at"), F.array("label").alias("labels"), F.array("edge").alias("used"))
     out = front
     for _ in range(hops - 1):
@@ -123,24 +123,81 @@ def _walks(edges: DataFrame, start: DataFrame, hops: int, directed: bool) -> Dat
     return out
 
 
-def trails_each(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:
-    """query, source_id, target_id, labels: ``trails`` for each query apart; seeds: query, id. Walks are made once a seed."""
-    seeds = seeds.select("query", "id").distinct()
-    found = _walks(edges, seeds.select(F.col("id").alias("source_id")).distinct(), hops, directed).select("source_id", F.col("at").alias("target_id"), "labels").distinct()
-    of = found.join(seeds.withColumnRenamed("id", "source_id"), "source_id")
-    return of.join(seeds.withColumnRenamed("id", "target_id"), ["query", "target_id"], "left_anti").select("query", "source_id", "target_id", "labels")
+def _found_each(steps: DataFrame, seeds: DataFrame, ends: DataFrame, hops: int, limit: int, order: list, scratch: Scratch) -> DataFrame:
+    """query, source_name, id, name, labels: for each query its first ``limit`` ends of trails, shortest first, then by ``order``.
+
+    steps: a, b, label, edge (a trail takes an edge once); seeds: query, id; ends: id, name. ``order`` starts with
+    source_name and id. Of equal length and start a trail's place follows from its last node, so of a node's last
+    steps only as many count as there are results, seeds and edges taken before; queries with enough results don't go
+    further. So a hub costs a query no more than another node, except as a seed, which fills a query at the first hop.
+    """
+    seeds = scratch.cut(seeds.select("query", F.col("id").alias("source_id")).distinct().join(ends.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id"))
+    most = seeds.groupBy("query").count().agg(F.max("count")).first()[0]
+    if most is None:
+        none = "query string, source_name string, id string, name string, labels array<string>"
+        return seeds.sparkSession.createDataFrame([], none)
+    steps = scratch.cut(steps)
+    # equal edges count once; of those that a trail may have taken before, one more is kept for each hop
+    same = Window.partitionBy("a", "b", "label").orderBy("edge")
+    last = steps.withColumn("m", F.row_number().over(same)).where(F.col("m") <= hops).join(ends.select(F.col("id").alias("b"), "name"), "b")
+    last = last.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("b", "label", "edge"))).where(F.col("n") <= (limit + most + hops) * hops)
+    last = scratch.cut(last.select("a", "b", "label", "edge", "name"))
+    front = seeds.select("query", "source_id", "source_name", F.col("source_id").alias("at"), F.array().cast("array<string>").alias("labels"), F.array().cast(f"array<{steps.schema['edge'].dataType.simpleString()}>").alias("used"))
+    out = None
+    for hop in range(hops):
+        ended = front.join(last, F.col("at") == F.col("a")).where(~F.array_contains("used", F.col("edge")))
+        ended = ended.select("query", "source_name", F.col("b").alias("id"), "name", F.array_append("labels", F.col("label")).alias("labels"))
+        ended = ended.join(seeds.select("query", F.col("source_id").alias("id")), ["query", "id"], "left_anti").distinct()
+        w = Window.partitionBy("query").orderBy(F.size("labels"), *order)
+        both = ended if out is None else out.unionByName(ended)
+        out = scratch.cut(both.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n"))
+        if hop + 1 < hops:
+            full = out.groupBy("query").count().where(F.col("count") >= limit).select("query")
+            front = front.join(full, "query", "left_anti").join(steps, F.col("at") == F.col("a")).where(~F.array_contains("used", F.col("edge")))
+            front = scratch.cut(front.select("query", "source_id", "source_name", F.col("b").alias("at"), F.array_append("labels", F.col("label")).alias("labels"), F.array_append("used", F.col("edge")).alias("used")))
+    return out
+
+
+def _steps(edges: DataFrame, directed: bool) -> DataFrame:
+    """a, b, label, edge of edges (a, b, label), in both directions unless directed; equal edges have numbers of their own."""
+    numbered = edges.select("a", "b", "label").where("a is not null and b is not null").withColumn("edge", F.xxhash64("a", "b", "label"))
+    numbered = numbered.withColumn("edge", F.struct("edge", F.row_number().over(Window.partitionBy("a", "b", "label").orderBy("edge"))))
+    return numbered if directed else numbered.unionByName(numbered.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "label", "edge"))
 
 
 def neighbors_each(ents: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, limit: int = 20) -> DataFrame:
     """Q3 for each query apart: query and the columns of ``neighbors``, ``limit`` of them a query. seeds: query, id."""
     hops, limit = clamp(hops, limit)
-    t = trails_each(edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("relationship").alias("label")), seeds, hops)
-    source = ents.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
-    target = ents.select(F.col("id").alias("target_id"), "name", F.col("type").alias("entity_type"))
-    rows = t.join(source, "source_id").join(target, "target_id")
-    rows = rows.select("query", F.col("target_id").alias("entity_id"), "name", "entity_type", "source_name", F.col("labels").alias("relationship_types")).distinct()
-    w = Window.partitionBy("query").orderBy(F.size("relationship_types"), "source_name", "entity_id", "relationship_types")
-    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
+    steps = _steps(edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("relationship").alias("label")), False)
+    found = _found_each(steps, seeds, ents.select("id", "name"), hops, limit, ["source_name", "id", "labels"], Scratch(ents.sparkSession, "neighbors"))
+    of = found.join(ents.select("id", F.col("type").alias("entity_type")), "id")
+    return of.select("query", F.col("id").alias("entity_id"), "name", "entity_type", "source_name", F.col("labels").alias("relationship_types")).distinct()
+
+
+def linked_documents_each(docs: DataFrame, links: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 20) -> DataFrame:
+    """Q4 for each query apart: query and the columns of ``linked_documents``, ``limit`` of them a query. seeds: query, id."""
+    hops, limit = clamp(hops, limit)
+    steps = _steps(links.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("answer_label").alias("label")), True)
+    found = _found_each(steps, seeds, docs.select("id", "name"), hops, limit, ["source_name", "id", "labels"], Scratch(docs.sparkSession, "linked"))
+    return found.select("query", F.col("id").alias("document_id"), "name", "source_name", F.col("labels").alias("answer_labels")).distinct()
+
+
+def breadth_first_each(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:
+    """Q7 for each query apart: query and the columns of ``breadth_first``. edges: a, b, label; seeds: query, id."""
+    hops, _ = clamp(hops, 1)
+    e = edges.select("a", "b", "label")
+    steps = e if directed else e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "label"))
+    scratch = Scratch(edges.sparkSession, "breadth")
+    front = scratch.cut(seeds.select("query", "id").distinct())
+    visited, out = front, None
+    for hop in range(1, hops + 1):
+        new = front.join(steps, F.col("id") == F.col("a")).select("query", F.col("b").alias("id"), F.col("a").alias("source_id"), "label").join(visited, ["query", "id"], "left_anti")
+        new = scratch.cut(new.groupBy("query", "id").agg(F.min(F.struct("source_id", "label")).alias("x")).select("query", "id", "x.source_id", "x.label"))
+        found = new.select("query", F.col("id").alias("target_id"), "source_id", "label", F.lit(hop).alias("hop"))
+        out = found if out is None else out.unionByName(found)
+        front = new.select("query", "id")
+        visited = visited.unionByName(front)
+    return out
 
 
 def neighbors(ents: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, limit: int = 20) -> DataFrame:

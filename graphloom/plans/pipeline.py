@@ -65,14 +65,13 @@ class Pipeline:
         overwrite(found, self.root, "mentions")
         self._write(rels, "relationships")
 
-    def candidates(self) -> None:
-        """Candidate rows of what isn't decided yet, upserted."""
+    def candidates(self) -> dict[str, int]:
+        """Candidate rows of what isn't decided yet, upserted; A14: the numbers of rows saved."""
         c, ents, found, rels = (self._read(t) for t in ("chunks", "entities", "mentions", "relationships"))
         old_e, old_r = self._read("candidate_entities"), self._read("candidate_relationships")
         new_e = candidates.build_entities(ents, found, c, self.now, self.ontology, old_e)
         new_r = candidates.build_relationships(rels, candidates.mention_counts(ents, found), c, self.now, old_r)
-        upsert(new_e, self.root, "candidate_entities")
-        upsert(new_r, self.root, "candidate_relationships")
+        return {t: upsert(rows, self.root, t) for t, rows in (("candidate_entities", new_e), ("candidate_relationships", new_r))}
 
     def _graph(self, e: DataFrame, m: DataFrame, r: DataFrame, silver: bool) -> graph.Graph:
         docs, c = self._read("markdown"), self._read("chunks")
@@ -89,11 +88,11 @@ class Pipeline:
     def ingest(self, docs: DataFrame) -> DataFrame:
         """All stages up to the candidate graph; the documents' changes against the run before."""
         before = self._read("markdown").select("document_id", "content_hash")
-        changes = diff.ingest_diff(before, conform(docs, "markdown")).collect()
+        changes = Scratch(self.spark, "ingest").cut(diff.ingest_diff(before, conform(docs, "markdown")))  # before the table is replaced
         self.documents(docs)
         for stage in (self.chunks, self.embeddings, self.extraction, self.candidates, self.candidate_graph):
             stage()
-        return self.spark.createDataFrame([tuple(r) for r in changes], "document_id string, change string")
+        return changes
 
     def publish_ontology(self) -> None:
         """Approved entities and relationships as tables."""

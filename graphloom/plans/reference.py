@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,13 +83,8 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "markdown").groupBy("document_id").agg(F.max("markdown").alias("markdown"))
 
 
-def _folded(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks in ASCII, as SQL's word boundaries know no other letters."""
-    return live_chunks(spark, sf).withColumn("content", F.regexp_replace("content", r"[^\x00-\x7F]", " "))
-
-
-Chunks = Callable[[SparkSession, str], DataFrame]
-
+# SQL's word boundaries know ASCII letters only: other letters are read as ``_`` and other signs as ``~``, none of which a phrase holds
+_SPACES = WS[1:-1].replace(r"\s", "").replace(r"\x0B", "").replace(r"\x{1C}-\x{1F}", "")
 _BASE = f"""
     live_chunks AS (
         SELECT chunk_id, document, section_path, content FROM (
@@ -128,7 +122,7 @@ _BASE = f"""
             FROM raw_documents WHERE document_id IS NOT NULL)
         WHERE n = 1),
     md AS (SELECT document_id, max(markdown) AS markdown FROM markdown GROUP BY document_id),
-    folded AS (SELECT chunk_id, document, section_path, regexp_replace(content, '[^\\x00-\\x7F]', ' ', 'g') AS content FROM live_chunks),
+    spelt AS (SELECT chunk_id, document, regexp_replace(regexp_replace(content, '[^\\x00-\\x7F\\pL\\pN\\pM{_SPACES}]', '~', 'g'), '[^\\x00-\\x7F{_SPACES}]', '_', 'g') AS content FROM live_chunks),
     merges AS (
         SELECT DISTINCT m.id, m.merged_into AS survivor FROM cand m JOIN cand a ON a.id = m.merged_into AND a.status = 'APPROVED' WHERE m.status = 'MERGED')"""
 
@@ -259,7 +253,7 @@ _CASE_TYPE = "CASE " + " ".join(f"WHEN last = '{w}' THEN '{t}'" for w, t in ONTO
 _CASE_DOMAIN = "CASE " + " ".join(f"WHEN bare = '{w}' THEN '{t}'" for w, t in ONTOLOGY.domain_terms.items()) + " END"
 _TECH = ", ".join(f"'{t.lower()}'" for t in ONTOLOGY.technologies)
 _PHRASES = f"""
-    found AS (SELECT chunk_id, document, regexp_extract_all(content, '{entities.PHRASE}') AS l FROM folded),
+    found AS (SELECT chunk_id, document, regexp_extract_all(content, '{entities.PHRASE}') AS l FROM spelt),
     rawp AS (SELECT chunk_id, document, CAST(i - 1 AS INTEGER) AS pos, l[i] AS raw FROM found, unnest(range(1, len(l) + 1)) AS u(i)),
     phrases AS (SELECT * FROM (SELECT chunk_id, document, pos, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(raw, '{WS}+', ' ', 'g')),
         '{entities._LEAD}', '')), '{entities._TRAIL}', '')) AS phrase FROM rawp) WHERE phrase <> '')"""
@@ -270,7 +264,7 @@ _RAW = f"""{_PHRASES},
     kinded AS (SELECT *, {_CASE_TYPE} AS kind FROM lasts),
     typed AS (SELECT chunk_id, document, pos, phrase AS name, CASE WHEN kind IS NOT NULL THEN CASE WHEN kind <> 'Document' AND (several OR acronym OR known) THEN kind END
         ELSE coalesce({_CASE_DOMAIN}, CASE WHEN known THEN 'Technology' END) END AS type FROM kinded),
-    topics AS (SELECT chunk_id, document, -1 AS pos, {_strip("string_split(coalesce(section_path, ''), ' > ')[-1]")} AS name, 'Topic' AS type FROM folded),
+    topics AS (SELECT chunk_id, document, -1 AS pos, {_strip("string_split(coalesce(section_path, ''), ' > ')[-1]")} AS name, 'Topic' AS type FROM live_chunks),
     every AS (SELECT * FROM topics WHERE name <> '' AND name IS DISTINCT FROM document UNION ALL SELECT * FROM typed WHERE type IS NOT NULL),
     raw_entities AS (SELECT chunk_id, document, min(pos) AS pos, arg_min(name, pos) AS name, type FROM every GROUP BY chunk_id, document, lower(name), type),
     firsts AS (SELECT *, row_number() OVER (PARTITION BY lower(name), type ORDER BY document NULLS FIRST, chunk_id, pos) AS n FROM raw_entities),
@@ -280,27 +274,27 @@ _RAW = f"""{_PHRASES},
 
 
 @query(_sql("SELECT chunk_id, pos, phrase FROM phrases", _PHRASES))
-def x1_phrases(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
+def x1_phrases(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate names in every chunk."""
-    return entities.phrases(chunks(spark, sf)).select("chunk_id", "pos", "phrase")
+    return entities.phrases(live_chunks(spark, sf)).select("chunk_id", "pos", "phrase")
 
 
 @query(_sql("SELECT chunk_id, pos, name, type FROM raw_entities", _RAW))
-def x4_classified(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
+def x4_classified(spark: SparkSession, sf: str) -> DataFrame:
     """Typed names of every chunk, each once."""
-    return entities.raw_entities(chunks(spark, sf), ONTOLOGY).select("chunk_id", "pos", "name", "type")
+    return entities.raw_entities(live_chunks(spark, sf), ONTOLOGY).select("chunk_id", "pos", "name", "type")
 
 
 @query(_sql("SELECT id, name, type, source_chunk FROM ents", _RAW))
-def x7_entities(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
+def x7_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Entities of the corpus."""
-    return entities.entities(entities.raw_entities(chunks(spark, sf), ONTOLOGY)).drop("first")
+    return entities.entities(entities.raw_entities(live_chunks(spark, sf), ONTOLOGY)).drop("first")
 
 
 @query(_sql("SELECT chunk_id, entity_id FROM found_in", _RAW))
-def x8_mentions(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
+def x8_mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Mentions of entities in chunks."""
-    return entities.mentions(entities.raw_entities(chunks(spark, sf), ONTOLOGY)).select("chunk_id", "entity_id")
+    return entities.mentions(entities.raw_entities(live_chunks(spark, sf), ONTOLOGY)).select("chunk_id", "entity_id")
 
 
 @query(_sql(f"SELECT id, 'entity_' || {_slug('type')} || '_' || {_slug('name')} AS entity_id FROM live_entities WHERE type IS NOT NULL AND name IS NOT NULL"))
@@ -311,24 +305,24 @@ def x9_ids(spark: SparkSession, sf: str) -> DataFrame:
     return live_entities(spark, sf).where("type is not null and name is not null").select("id", entity_id(F.col("type"), F.col("name")).alias("entity_id"))
 
 
-@query(_sql("SELECT f.chunk_id, coalesce(n, 0) AS n_mentions, coalesce(n, 0) < 3 AS to_model FROM folded f LEFT JOIN (SELECT chunk_id, count(*) AS n FROM found_in GROUP BY 1) m ON m.chunk_id = f.chunk_id", _RAW))
-def x13_route(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
+@query(_sql("SELECT f.chunk_id, coalesce(n, 0) AS n_mentions, coalesce(n, 0) < 3 AS to_model FROM live_chunks f LEFT JOIN (SELECT chunk_id, count(*) AS n FROM found_in GROUP BY 1) m ON m.chunk_id = f.chunk_id", _RAW))
+def x13_route(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks in which the rules find fewer than three entities."""
-    c = chunks(spark, sf)
+    c = live_chunks(spark, sf)
     return entities.route(c, entities.mentions(entities.raw_entities(c, ONTOLOGY)), 3).select("chunk_id", "n_mentions", "to_model")
 
 
 @query(_sql("SELECT id, name, type, source_chunk FROM one_ent WHERE id NOT IN (SELECT id FROM live_entities) UNION ALL SELECT id, name, type, source_chunk FROM live_entities", _RAW))
-def x14_merged(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
+def x14_merged(spark: SparkSession, sf: str) -> DataFrame:
     """Given entities together with those found by rules, one row an id, the given ones first."""
-    own = entities.one_per_id(entities.entities(entities.raw_entities(chunks(spark, sf), ONTOLOGY)))
+    own = entities.one_per_id(entities.entities(entities.raw_entities(live_chunks(spark, sf), ONTOLOGY)))
     return entities.merge(live_entities(spark, sf), own)
 
 
 _SENT = f"""
     sents AS (SELECT chunk_id, document, CAST(i - 1 AS INTEGER) AS sentence_no, l[i] AS sentence FROM (
         SELECT chunk_id, document, list_filter(string_split(regexp_replace(trim(regexp_replace(content, '{WS}+', ' ', 'g')), '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS l
-        FROM folded), unnest(range(1, len(l) + 1)) AS u(i))"""
+        FROM live_chunks), unnest(range(1, len(l) + 1)) AS u(i))"""
 _TRIGGERS = ", ".join(f"('{k}', '{t}')" for k, t in ONTOLOGY.triggers)
 _RELS = f"""{_RAW}, {_SENT},
     trig AS (SELECT * FROM (VALUES {_TRIGGERS}) AS v(kind, t)),
@@ -346,29 +340,29 @@ _RELS = f"""{_RAW}, {_SENT},
 
 
 @query(_sql("SELECT chunk_id, sentence_no, sentence FROM sents", _SENT))
-def r1_sentences(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
+def r1_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of every chunk."""
-    return relations.chunk_sentences(chunks(spark, sf)).select("chunk_id", "sentence_no", "sentence")
+    return relations.chunk_sentences(live_chunks(spark, sf)).select("chunk_id", "sentence_no", "sentence")
 
 
 @query(_sql('SELECT chunk_id, sentence_no, kind, start AS span_start, CAST("end" AS INTEGER) AS span_end FROM spans', _RELS))
-def r2_triggers(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
+def r2_triggers(spark: SparkSession, sf: str) -> DataFrame:
     """Relationship triggers in every sentence."""
-    spans = relations.trigger_spans(relations.chunk_sentences(chunks(spark, sf)), ONTOLOGY)
+    spans = relations.trigger_spans(relations.chunk_sentences(live_chunks(spark, sf)), ONTOLOGY)
     return spans.select("chunk_id", "sentence_no", "kind", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
 
 
-def _extracted(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _extracted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     scratch = Scratch(spark, "extracted")
-    c = scratch.cut(chunks(spark, sf))
+    c = scratch.cut(live_chunks(spark, sf))
     raw = scratch.cut(entities.raw_entities(c, ONTOLOGY))
     return c, entities.one_per_id(entities.entities(raw)), entities.mentions(raw)
 
 
 @query(_sql("SELECT chunk_id, sentence_no, entity_id, place FROM places", _RELS))
-def r3_positions(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
+def r3_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Places of entities in sentences that name two or more."""
-    c, ents, found = _extracted(spark, sf, chunks)
+    c, ents, found = _extracted(spark, sf)
     return relations.positions(relations.chunk_sentences(c), found, ents).select("chunk_id", "sentence_no", "entity_id", F.col("at").alias("place"))
 
 
@@ -378,17 +372,12 @@ def r3_positions(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> Data
         _RELS,
     )
 )
-def r5_relationships(spark: SparkSession, sf: str, chunks: Chunks = _folded) -> DataFrame:
+def r5_relationships(spark: SparkSession, sf: str) -> DataFrame:
     """Relationships that the rules find."""
-    c, ents, found = _extracted(spark, sf, chunks)
+    c, ents, found = _extracted(spark, sf)
     return relations.extract_relationships(c, ents, found, ONTOLOGY)
 
 
-# the same over the texts as they are, without SQL: its word boundaries are others
-_OVER_TEXTS = (x1_phrases, x4_classified, x7_entities, x8_mentions, x13_route, x14_merged, r1_sentences, r2_triggers, r3_positions, r5_relationships)
-QUERIES |= {f"{f.__name__}_whole": partial(f, chunks=live_chunks) for f in _OVER_TEXTS}
-
-
 # --- candidates --------------------------------------------------------------------------------------------------
 
 
@@ -581,45 +570,18 @@ _EDIFF = f"""
     ediff AS (SELECT * FROM (SELECT b.id, CASE WHEN w AND m.survivor IS NOT NULL THEN 'merged' WHEN NOT w THEN 'added' WHEN NOT n THEN 'removed'
         WHEN name_before IS DISTINCT FROM name_after OR type_before IS DISTINCT FROM type_after THEN 'modified' END AS change, name_before, type_before, name_after, type_after, m.survivor
         FROM both_sides b LEFT JOIN merges m ON m.id = b.id) WHERE change IS NOT NULL)"""
-_RDIFF = f"""{_resolved(_PROPOSED, _PROPOSED)},
-    nowr AS (SELECT DISTINCT source_entity AS source, relationship_type AS relationship, target_entity AS target FROM kept),
-    wasr AS (SELECT source, relationship, target FROM edges WHERE source_chunk < '2000020'),
-    rdiff AS (SELECT *, 'added' AS change FROM (SELECT * FROM nowr EXCEPT SELECT * FROM wasr) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM wasr EXCEPT SELECT * FROM nowr))"""
-
 
 def _entity_diff(spark: SparkSession, sf: str) -> DataFrame:
     baseline = live_entities(spark, sf).withColumn("type", F.lower("type"))
     return diff.entity_diff(baseline, candidate_rows(spark, sf))
 
 
-def _relationship_diff(spark: SparkSession, sf: str) -> DataFrame:
-    baseline = edges(spark, sf).where("source_chunk < '2000020'")
-    return diff.relationship_diff(baseline, candidate_rows(spark, sf), candidate_relationships(spark, sf))
-
-
 @query(_sql("SELECT id, change, name_before, type_before, name_after, type_after, CASE WHEN change = 'merged' THEN survivor END AS survivor FROM ediff", _EDIFF))
 def g13_entity_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Entities added, removed, merged or modified by the candidates."""
     return _entity_diff(spark, sf)
 
 
-@query(_sql("SELECT source, relationship, target, change FROM rdiff", _RDIFF))
-def g13_relationship_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Relationships added or removed against those of an earlier run."""
-    return _relationship_diff(spark, sf)
-
-
-@query(
-    _sql(
-        "SELECT (SELECT CAST(coalesce(sum(CASE change WHEN 'added' THEN 1 WHEN 'modified' THEN 0 ELSE -1 END), 0) AS BIGINT) FROM ediff) AS node_delta, (SELECT CAST(coalesce(sum(CASE change WHEN 'added' THEN 1 ELSE -1 END), 0) AS BIGINT) FROM rdiff) AS relationship_delta",
-        f"{_EDIFF}, {_RDIFF}",
-    )
-)
-def g14_deltas(spark: SparkSession, sf: str) -> DataFrame:
-    """Net change of the graph's size."""
-    return diff.deltas(_entity_diff(spark, sf), _relationship_diff(spark, sf))
-
-
 def _loaded_before(spark: SparkSession, sf: str, day: str) -> DataFrame:
     """The edges known from the rows loaded before a day."""
     plain = lambda c: F.nullif(F.lower(F.trim(F.col(c), F.lit(" \t"))), F.lit("")).alias(c)
@@ -630,7 +592,7 @@ def _loaded_before(spark: SparkSession, sf: str, day: str) -> DataFrame:
 
 # Fixed value: the day up to which the earlier state had been loaded.
 _EARLIER = "2025-07-01"
-_RDIFF_LOADED = f"""{_resolved(_PROPOSED, _PROPOSED)},
+_RDIFF = f"""{_resolved(_PROPOSED, _PROPOSED)},
     nowr AS (SELECT DISTINCT source_entity AS source, relationship_type AS relationship, target_entity AS target FROM kept),
     wasr AS (SELECT DISTINCT * FROM (SELECT nullif(lower(trim(source, chr(32) || chr(9))), '') AS source, upper(trim(relationship)) AS relationship,
         nullif(lower(trim(target, chr(32) || chr(9))), '') AS target FROM relationships WHERE loaded_at < TIMESTAMP '{_EARLIER}')
@@ -638,8 +600,8 @@ _RDIFF_LOADED = f"""{_resolved(_PROPOSED, _PROPOSED)},
     rdiff AS (SELECT *, 'added' AS change FROM (SELECT * FROM nowr EXCEPT SELECT * FROM wasr) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM wasr EXCEPT SELECT * FROM nowr))"""
 
 
-@query(_sql("SELECT source, relationship, target, change FROM rdiff", _RDIFF_LOADED))
-def g13_relationship_diff_loaded(spark: SparkSession, sf: str) -> DataFrame:
+@query(_sql("SELECT source, relationship, target, change FROM rdiff", _RDIFF))
+def g13_relationship_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Relationships added or removed against all that had been loaded by an earlier day."""
     return diff.relationship_diff(_loaded_before(spark, sf, _EARLIER), candidate_rows(spark, sf), candidate_relationships(spark, sf))
 
@@ -647,10 +609,10 @@ def g13_relationship_diff_loaded(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     _sql(
         "SELECT (SELECT CAST(coalesce(sum(CASE change WHEN 'added' THEN 1 WHEN 'modified' THEN 0 ELSE -1 END), 0) AS BIGINT) FROM ediff) AS node_delta, (SELECT CAST(coalesce(sum(CASE change WHEN 'added' THEN 1 ELSE -1 END), 0) AS BIGINT) FROM rdiff) AS relationship_delta",
-        f"{_EDIFF}, {_RDIFF_LOADED}",
+        f"{_EDIFF}, {_RDIFF}",
     )
 )
-def g14_deltas_loaded(spark: SparkSession, sf: str) -> DataFrame:
+def g14_deltas(spark: SparkSession, sf: str) -> DataFrame:
     """Net change of the graph's size since that day."""
     return diff.deltas(_entity_diff(spark, sf), diff.relationship_diff(_loaded_before(spark, sf, _EARLIER), candidate_rows(spark, sf), candidate_relationships(spark, sf)))
 
@@ -743,29 +705,8 @@ def e4_embed_join(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("chunk_id", "embedding_model", F.size("embedding_vector").alias("dimension"))
 
 
-@query("SELECT vec_id, round(s, 6) AS similarity, round((1 + s) / 2, 6) AS score FROM (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY s DESC, vec_id LIMIT 8")
-def q1_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The 8 vectors most similar to the first one."""
-    v = table(spark, sf, "embeddings")
-    q = v.where("vec_id = 0").first()["embedding"]
-    return retrieval.top_k(v, q, 8, "vec_id", "embedding").select("vec_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
-
-
-_SEED_CHUNKS = "seed_chunks AS (SELECT chunk_id FROM live_chunks ORDER BY chunk_id LIMIT 8), seeds AS (SELECT DISTINCT entity_id AS id FROM mentions WHERE chunk_id IN (SELECT chunk_id FROM seed_chunks) AND entity_id IN (SELECT id FROM live_entities))"
-
-
-def _seed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return live_chunks(spark, sf).select("chunk_id").orderBy("chunk_id").limit(8)
-
-
-@query(_sql("SELECT DISTINCT e.id AS entity_id, e.name, e.type AS entity_type FROM mentions m JOIN live_entities e ON e.id = m.entity_id WHERE m.chunk_id IN (SELECT chunk_id FROM seed_chunks)", _SEED_CHUNKS))
-def q2_mentioned(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities of eight found chunks."""
-    return retrieval.mentioned(mention_rows(spark, sf), live_entities(spark, sf), _seed_chunks(spark, sf))
-
-
 @query("SELECT query, vec_id, round(s, 6) AS similarity, round((1 + s) / 2, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS n FROM (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE n <= 8")
-def q1_topk_each(spark: SparkSession, sf: str) -> DataFrame:
+def q1_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The 8 vectors most similar to each whose id is divisible by 100."""
     v = table(spark, sf, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
@@ -782,82 +723,70 @@ _EACH = "asked AS (SELECT chunk_id FROM live_chunks WHERE CAST('0x' || left(md5(
 
 
 @query(_sql("SELECT DISTINCT m.chunk_id, e.id AS entity_id, e.name, e.type AS entity_type FROM mentions m JOIN live_entities e ON e.id = m.entity_id WHERE m.chunk_id IN (SELECT chunk_id FROM asked)", _EACH))
-def q2_mentioned_each(spark: SparkSession, sf: str) -> DataFrame:
+def q2_mentioned(spark: SparkSession, sf: str) -> DataFrame:
     """Entities of every hundredth chunk."""
     return retrieval.mentioned_each(mention_rows(spark, sf), live_entities(spark, sf), _asked(spark, sf))
 
 
-@query()
-def q3_neighbors_each_h1(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours of the entities of every hundredth chunk, 100 a chunk."""
-    seeds = q2_mentioned_each(spark, sf).select(F.col("chunk_id").alias("query"), F.col("entity_id").alias("id"))
-    return retrieval.neighbors_each(live_entities(spark, sf), edges(spark, sf), seeds, 1, 100)
+def _asked_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return q2_mentioned(spark, sf).select(F.col("chunk_id").alias("query"), F.col("entity_id").alias("id"))
 
 
-_STEPS = """steps AS (SELECT source AS a, target AS b, relationship AS t, row_number() OVER (ORDER BY source, relationship, target) AS e FROM edges),
-    both_ways AS (SELECT * FROM steps UNION ALL SELECT b, a, t, e FROM steps WHERE a <> b),
-    h1 AS (SELECT s.id AS source_id, b AS node, [t] AS types, [e] AS used FROM seeds s JOIN both_ways ON a = s.id),
-    h2 AS (SELECT source_id, b AS node, list_append(types, t) AS types, list_append(used, e) AS used FROM h1 JOIN both_ways ON a = node WHERE NOT list_contains(used, e))"""
+_STEPS = """seeds AS (SELECT DISTINCT m.chunk_id AS query, m.entity_id AS id FROM mentions m JOIN live_entities e ON e.id = m.entity_id WHERE m.chunk_id IN (SELECT chunk_id FROM asked)),
+    steps AS (SELECT source AS a, target AS b, relationship AS t, row_number() OVER (ORDER BY source, relationship, target) AS e FROM edges),
+    both_ways AS (SELECT * FROM steps UNION ALL SELECT b, a, t, e FROM steps WHERE a <> b)"""
 
 
-def _neighbors_sql(hops: int) -> str:
-    union = " UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(1, hops + 1))
-    return _sql(
-        f"""SELECT * FROM (SELECT DISTINCT n.id AS entity_id, n.name, n.type AS entity_type, s.name AS source_name, h.types AS relationship_types FROM ({union}) h
-        JOIN live_entities s ON s.id = h.source_id JOIN live_entities n ON n.id = h.node WHERE h.node NOT IN (SELECT id FROM seeds))
-        ORDER BY len(relationship_types), source_name, entity_id, relationship_types LIMIT 100""",
-        f"{_SEED_CHUNKS}, {_STEPS}",
+@query(
+    _sql(
+        """SELECT query, entity_id, name, entity_type, source_name, relationship_types FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY source_name NULLS FIRST, entity_id, relationship_types) AS n FROM (
+            SELECT DISTINCT q.query, n.id AS entity_id, n.name, n.type AS entity_type, s.name AS source_name, [h.t] AS relationship_types FROM seeds q JOIN both_ways h ON h.a = q.id
+            JOIN live_entities s ON s.id = q.id JOIN live_entities n ON n.id = h.b WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.query = q.query AND x.id = h.b))) WHERE n <= 100""",
+        f"{_EACH}, {_STEPS}",
     )
-
-
-def _neighbors(spark: SparkSession, sf: str, hops: int) -> DataFrame:
-    seeds = q2_mentioned(spark, sf).select(F.col("entity_id").alias("id"))
-    return retrieval.neighbors(live_entities(spark, sf), edges(spark, sf), seeds, hops, 100)
-
-
-@query(_neighbors_sql(1))
+)
 def q3_neighbors_h1(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours of the found chunks' entities."""
-    return _neighbors(spark, sf, 1)
+    """Neighbours of the entities of every hundredth chunk, 100 a chunk."""
+    return retrieval.neighbors_each(live_entities(spark, sf), edges(spark, sf), _asked_entities(spark, sf), 1, 100)
 
 
-@query(_neighbors_sql(2))
+@query()
 def q3_neighbors_h2(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours over two relationships."""
-    return _neighbors(spark, sf, 2)
+    """Neighbours over up to two relationships; SQL would make all trails of hubs."""
+    return retrieval.neighbors_each(live_entities(spark, sf), edges(spark, sf), _asked_entities(spark, sf), 2, 100)
 
 
 @query(
     _sql(
-        """SELECT * FROM (SELECT DISTINCT d.document_id, d.document_name AS name, s.document_name AS source_name, h.labels AS answer_labels FROM (
-            SELECT a.child_id AS source_id, a.parent_id AS node, [''] AS labels FROM tree a WHERE a.child_id IN (SELECT id FROM sd)
-            UNION ALL SELECT a.child_id, b.parent_id, ['', ''] FROM tree a JOIN tree b ON b.child_id = a.parent_id WHERE a.child_id IN (SELECT id FROM sd) AND (a.child_id, a.parent_id) <> (b.child_id, b.parent_id)) h
-        JOIN docs s ON s.document_id = h.source_id JOIN docs d ON d.document_id = h.node WHERE h.node NOT IN (SELECT id FROM sd))
-        ORDER BY len(answer_labels), source_name, document_id, answer_labels LIMIT 20""",
-        f"{_SEED_CHUNKS}, {_LOADED}, sd AS (SELECT DISTINCT document AS id FROM live_chunks WHERE chunk_id IN (SELECT chunk_id FROM seed_chunks))",
+        """SELECT query, document_id, name, source_name, answer_labels FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY len(answer_labels), source_name NULLS FIRST, document_id, answer_labels) AS n FROM (
+            SELECT DISTINCT h.query, d.document_id, d.document_name AS name, s.document_name AS source_name, h.labels AS answer_labels FROM (
+            SELECT q.query, a.child_id AS source_id, a.parent_id AS node, [''] AS labels FROM sd q JOIN tree a ON a.child_id = q.id
+            UNION ALL SELECT q.query, a.child_id, b.parent_id, ['', ''] FROM sd q JOIN tree a ON a.child_id = q.id JOIN tree b ON b.child_id = a.parent_id WHERE (a.child_id, a.parent_id) <> (b.child_id, b.parent_id)) h
+        JOIN docs s ON s.document_id = h.source_id JOIN docs d ON d.document_id = h.node WHERE h.node <> h.source_id)) WHERE n <= 20""",
+        f"{_EACH}, {_LOADED}, sd AS (SELECT DISTINCT chunk_id AS query, document AS id FROM live_chunks WHERE chunk_id IN (SELECT chunk_id FROM asked))",
     )
 )
 def q4_linked(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages that the found chunks' pages lead to within two steps, along the tree as the texts hold no links."""
+    """Pages that the page of every hundredth chunk leads to within two steps, along the tree as the texts hold no links."""
     d = documents(spark, sf)
     links = graph.hierarchy_edges(d).select(F.col("child_id").alias("source_id"), F.col("parent_id").alias("target_id"), F.lit("").alias("answer_label"))
-    seeds = live_chunks(spark, sf).join(_seed_chunks(spark, sf), "chunk_id", "left_semi").select(F.col("document").alias("id"))
-    return retrieval.linked_documents(d.select(F.col("document_id").alias("id"), F.col("document_name").alias("name")), links, seeds, 2, 20)
+    seeds = _asked(spark, sf).select(F.col("chunk_id").alias("query"), F.col("document").alias("id"))
+    return retrieval.linked_documents_each(d.select(F.col("document_id").alias("id"), F.col("document_name").alias("name")), links, seeds, 2, 20)
 
 
 @query(
     _sql(
-        """SELECT b AS target_id, x.a AS source_id, x.t AS label, 1 AS hop FROM r1 UNION ALL SELECT b, x.a, x.t, 2 FROM r2""",
-        f"""{_SEED_CHUNKS}, {_STEPS},
-        r1 AS (SELECT b, min({{'a': a, 't': t}}) AS x FROM both_ways WHERE a IN (SELECT id FROM seeds) AND b NOT IN (SELECT id FROM seeds) GROUP BY b),
-        r2 AS (SELECT b, min({{'a': a, 't': t}}) AS x FROM both_ways WHERE a IN (SELECT b FROM r1) AND b NOT IN (SELECT id FROM seeds) AND b NOT IN (SELECT b FROM r1) GROUP BY b)""",
+        """SELECT query, b AS target_id, x.a AS source_id, x.t AS label, 1 AS hop FROM r1 UNION ALL SELECT query, b, x.a, x.t, 2 FROM r2""",
+        f"""{_EACH}, {_STEPS},
+        r1 AS (SELECT query, b, min({{'a': a, 't': t}}) AS x FROM seeds s JOIN both_ways ON a = s.id WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.query = s.query AND z.id = b) GROUP BY query, b),
+        r2 AS (SELECT s.query, w.b, min({{'a': w.a, 't': w.t}}) AS x FROM r1 s JOIN both_ways w ON w.a = s.b WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.query = s.query AND z.id = w.b)
+            AND NOT EXISTS (SELECT 1 FROM r1 z WHERE z.query = s.query AND z.b = w.b) GROUP BY s.query, w.b)""",
     )
 )
 def q7_breadth_first(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes reached from the found chunks' entities within two hops, each once."""
-    seeds = q2_mentioned(spark, sf).select(F.col("entity_id").alias("id"))
+    """Nodes reached from the entities of every hundredth chunk within two hops, each once a chunk."""
     e = edges(spark, sf).select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("relationship").alias("label"))
-    return retrieval.breadth_first(e, seeds, 2)
+    return retrieval.breadth_first_each(e, _asked_entities(spark, sf), 2)
 
 
 # --- summaries ---------------------------------------------------------------------------------------------------

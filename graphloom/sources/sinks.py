@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.contracts import CONTRACTS, identifier
 from graphloom.operators.graph import Graph
+from graphloom.scratch import Scratch
 from graphloom.sources.files import read_table
 
 
@@ -48,10 +49,16 @@ def merged(target: DataFrame, batch: DataFrame, key: tuple[str, ...], order: str
     return target.join(new.select(*key), list(key), "left_anti").select(*target.columns).unionByName(new, allowMissingColumns=True)
 
 
-def upsert(batch: DataFrame, root: str, table: str, order: str | None = None) -> None:
-    """K3: upsert into a stored table by its contract's key; an empty batch does nothing."""
-    if not batch.isEmpty():
-        overwrite(merged(read_table(batch.sparkSession, root, table), batch, CONTRACTS[table].key, order), root, table)
+def upsert(batch: DataFrame, root: str, table: str, order: str | None = None) -> int:
+    """Upsert into a stored table by its contract's key; the number of rows saved. An empty batch does nothing.
+
+    The batch is written once beforehand, as the merge reads it twice. The stored rows are read and written once each.
+    """
+    key = CONTRACTS[table].key
+    new, (n, *_) = Scratch(batch.sparkSession, "upsert").cut_state(last_per_key(batch, key, order), *key)
+    if n:
+        overwrite(merged(read_table(batch.sparkSession, root, table), new, key), root, table)
+    return n
 
 
 def merge_sql(table: str, source: str) -> str:

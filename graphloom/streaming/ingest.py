@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphloom.contracts import CONTRACTS
 from graphloom.operators import chunking
+from graphloom.scratch import Scratch
 from graphloom.sources.files import read_table
 from graphloom.sources.sinks import merged, overwrite
 
@@ -20,18 +21,24 @@ def document_stream(spark: SparkSession, folder: str, files_per_batch: int = 100
 
 
 def upsert_chunks(root: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the chunks of a batch's documents take the place of all chunks these documents had.
+    """For foreachBatch: of each document the latest version of a batch is kept, unless a later one is stored, and its chunks take the place of all it had.
 
     Running a batch again gives the same tables, so delivery at least once is enough.
     """
 
     def run(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy("document_id").agg(F.max(F.struct("version", "ingested_at", "markdown")).alias("x")).select("document_id", "x.markdown")
-        chunks = chunking.chunk_documents(last)
-        old = read_table(batch.sparkSession, root, "chunks")
+        spark = batch.sparkSession
+        stored = read_table(spark, root, "markdown")
+        latest = Window.partitionBy("document_id").orderBy(*[F.desc_nulls_last(c) for c in ("version", "ingested_at", "markdown")])
+        last = batch.where("document_id is not null").withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+        # what arrives after a later version changes nothing
+        newer = stored.select("document_id", F.col("version").alias("_v"))
+        last = last.join(newer, "document_id", "left").where("_v is null or coalesce(version, -1) >= _v").select(batch.columns)
+        last = Scratch(spark, "stream").cut(last)
+        old = read_table(spark, root, "chunks")
         kept = old.join(last.select(F.col("document_id").alias("document")), "document", "left_anti").select(*old.columns)
-        overwrite(kept.unionByName(chunks), root, "chunks")
-        overwrite(merged(read_table(batch.sparkSession, root, "markdown"), batch.dropDuplicates(["document_id"]), ("document_id",)), root, "markdown")
+        overwrite(kept.unionByName(chunking.chunk_documents(last)), root, "chunks")
+        overwrite(merged(stored, last, ("document_id",)), root, "markdown")
 
     return run
 

@@ -143,13 +143,13 @@ def test_extraction_over_whole_texts(spark, tmp_path):
     rows = [("c1", "d1", None, text, None, False)]
     spark.createDataFrame(rows, "chunk_id string, document string, section_path string, content string, loaded_at timestamp_ntz, is_deleted boolean").write.parquet(f"{tmp_path}/chunks.parquet")
     ask = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    sentences = [r.sentence for r in sorted(ask("r1_sentences_whole"), key=lambda r: r.sentence_no)]
+    sentences = [r.sentence for r in sorted(ask("r1_sentences"), key=lambda r: r.sentence_no)]
     assert sentences == ["A fee of £20 — paid.", "Café Billing Service uses Ledger API.", "Łódź Billing System depends on Mail Service."]
-    spans = {(r.sentence_no, r.span_start, r.span_end) for r in ask("r2_triggers_whole")}
+    spans = {(r.sentence_no, r.span_start, r.span_end) for r in ask("r2_triggers")}
     assert {(1, sentences[1].index("uses"), sentences[1].index("uses") + 4), (2, sentences[2].index("depends on"), sentences[2].index("depends on") + 10)} <= {(n, sentences[n].index(sentences[n][a:b].strip()), a + len(sentences[n][a:b].rstrip())) for n, a, b in spans}
     # a word that goes on with another letter is no name, and never a part of one
     cut = lambda name: {r.phrase for r in ask(name) if "Caf" in r.phrase}
-    assert cut("x1_phrases_whole") == set() and cut("x1_phrases") == {"Caf Billing Service"}
+    assert cut("x1_phrases") == set()
 
 
 def test_links_and_loading(spark):
@@ -226,6 +226,24 @@ def test_every_query_apart(spark):
             own = spark.createDataFrame([(i,) for x, i in seeds if x == q], "id string")
             want += [(q, *r) for r in retrieval.neighbors(ents, edges, own, hops, 3).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+    # a hub beside a seed, parallel edges, ends that are no entities
+    edges = [("s", "X", "hub"), ("s", "X", "hub"), ("t", "Y", "hub"), ("hub", "Y", "gone"), *(("hub", "XY"[i % 2], f"n{i:02d}") for i in range(60))]
+    ents = spark.createDataFrame([(x, "Same" if x in "st" else x, "API") for x in ("s", "t", "hub", *(f"n{i:02d}" for i in range(60)))], "id string, name string, type string")
+    seeds = [("q1", "s"), ("q1", "t"), ("q1", "n00"), ("q2", "hub"), ("q3", "n05"), ("q4", "none")]
+    edges, asked = spark.createDataFrame(edges, "source string, relationship string, target string"), spark.createDataFrame(seeds, "query string, id string")
+    for hops, limit in ((2, 7), (3, 5)):
+        got = [tuple(r) for r in retrieval.neighbors_each(ents, edges, asked, hops, limit).collect()]
+        want = []
+        for q in ("q1", "q2", "q3", "q4"):
+            want += [(q, *r) for r in retrieval.neighbors(ents, edges, asked.where(f"query = '{q}'").select("id"), hops, limit).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    links = edges.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.col("relationship").alias("answer_label"))
+    docs, e = ents.select("id", "name"), edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("relationship").alias("label"))
+    for q in ("q1", "q2", "q3"):
+        own = asked.where(f"query = '{q}'").select("id")
+        for each, one in ((retrieval.linked_documents_each(docs, links, asked, 2, 6), retrieval.linked_documents(docs, links, own, 2, 6)), (retrieval.breadth_first_each(e, asked, 2), retrieval.breadth_first(e, own, 2))):
+            assert sorted(map(tuple, each.where(f"query = '{q}'").drop("query").collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+    assert retrieval.neighbors_each(ents, edges, asked.limit(0), 2, 5).count() == 0
     v = spark.createDataFrame([(i, [rnd.choice([0.0, 1.0, 2.0]), rnd.choice([0.0, 1.0])]) for i in range(40)] + [(40, None), (41, [1.0])], "chunk_id int, embedding_vector array<float>")
     q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "query int, v array<float>")
     for r in q.collect():
@@ -286,6 +304,7 @@ def test_pipeline_runs_again_without_change(spark, tmp_path):
         overwrite(p._read(t).withColumn("status", F.lit("APPROVED")), p.root, t)
     before = sorted(map(str, p._read("candidate_entities").collect()))
     assert p.ingest(docs).count() == 0
+    assert p.candidates() == {"candidate_entities": 0, "candidate_relationships": 0}
     assert sorted(map(str, p._read("candidate_entities").collect())) == before
     stats = {r.kind: r.n_effective for r in p.publish_graph().collect()}
     assert stats["documents"] == 2 and stats["relationships"] >= 2 and stats["hierarchy"] == 1
@@ -304,11 +323,14 @@ def test_stream(spark, tmp_path):
     run = lambda: ingest.start(spark, str(tmp_path / "in"), root, str(tmp_path / "cp")).awaitTermination()
     add(1, ("a", 1, "one"), ("b", 1, "two"))
     run()
-    add(2, ("a", 2, "three"))
+    add(2, ("a", 2, "three"), ("a", 1, "one again"), ("c", 5, "five"), ("c", 4, "four"))
+    run()
+    add(3, ("c", 3, "three"), ("b", 1, "two again"))
     run()
     from graphloom.sources.files import read_table
 
-    assert {(r.document, r.content) for r in read_table(spark, root, "chunks").collect()} == {("a", "three"), ("b", "two")}
+    assert {(r.document, r.content) for r in read_table(spark, root, "chunks").collect()} == {("a", "three"), ("b", "two again"), ("c", "five")}
+    assert {(r.document_id, r.version, r.markdown) for r in read_table(spark, root, "markdown").collect()} == {("a", 2, "three"), ("b", 1, "two again"), ("c", 5, "five")}
 
 
 def test_entry_points():

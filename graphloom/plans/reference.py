@@ -465,10 +465,21 @@ def g4_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     return graph.hierarchy_edges(documents(spark, sf))
 
 
-@query(_sql("SELECT source_id, target_id, answer_label, known FROM (SELECT NULL::VARCHAR AS source_id, NULL::VARCHAR AS target_id, NULL::VARCHAR AS answer_label, NULL::BOOLEAN AS known) WHERE NOT EXISTS (SELECT 1 FROM md WHERE contains(markdown, 'smallblue')) AND false"))
+@query(
+    _sql(
+        """SELECT document_id AS source_id, parent_page_id AS target_id, 'Next step' AS answer_label, parent_page_id IN (SELECT document_id FROM docs) AS known FROM docs WHERE regexp_full_match(parent_page_id, '[0-9]+')
+        UNION ALL SELECT document_id, document_id, 'Again', true FROM docs WHERE regexp_full_match(parent_page_id, '[0-9]+') AND regexp_full_match(document_id, '[0-9]+')"""
+    )
+)
 def g5_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Links between pages found in their texts; the given pages hold none, tests cover the rest."""
-    return graph.link_candidates(markdown(spark, sf))
+    """Links between pages found in their texts; as the given pages hold none, links to the parent and the page itself are planted."""
+    base = "https://pages.example/wiki/pages"
+    link = lambda label, c: F.concat(F.lit(f"smallblue {label} {base}/"), F.col(c), F.lit("/Title"))
+    digits = F.col("parent_page_id").rlike("^[0-9]+$")
+    own = F.when(F.col("document_id").rlike("^[0-9]+$"), link("Again", "document_id")).otherwise("")
+    planted = F.when(digits, F.concat(F.lit("Text before "), link("Next step", "parent_page_id"), F.lit("\n"), own)).otherwise("")
+    d = documents(spark, sf).join(markdown(spark, sf), "document_id", "left")
+    return graph.link_candidates(d.select("document_id", F.concat(F.coalesce("markdown", F.lit("")), F.lit("\n"), planted).alias("markdown")))
 
 
 def _graph(spark: SparkSession, sf: str) -> graph.Graph:

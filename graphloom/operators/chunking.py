@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,46 +70,43 @@ def blocks(docs: DataFrame, key: str = "document_id", text: str = "markdown") ->
     return out.where("block <> ''").select("document_id", "section_no", "section", "block_no", "block")
 
 
-def pack(items: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> Column:
-    """T-5: fold of array<struct<block,tokens>> into array<array<block>>: chunks of whole blocks.
+def pack(tokens: list[int], max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> list[tuple[int, int]]:
+    """T-5: chunks of whole blocks as ranges of their numbers, from the blocks' token counts.
 
     A chunk ends before the block that would exceed the limit and once the limit is reached; the next one starts with
     the last blocks worth the overlap. A block over the limit is kept whole and is its own overlap.
     """
-    none = F.slice(items, 1, 0)
-
-    def tokens(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0), lambda a, x: a + x["tokens"])
-
-    def tail(xs: Column) -> Column:
-        n = F.aggregate(
-            F.reverse(xs), F.struct(F.lit(0).alias("n"), F.lit(0).alias("t")),
-            lambda a, x: F.when(a["t"] >= overlap_tokens, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["t"] + x["tokens"]).alias("t"))),
-            lambda a: a["n"],
-        )
-        return F.slice(xs, F.size(xs) - n + 1, n)
-
-    def emit(acc: Column, when: Column) -> Column:
-        over = F.size(acc["current"]) > 0
-        full = when & over
-        return F.struct(
-            F.when(full, F.array_append(acc["chunks"], acc["current"])).otherwise(acc["chunks"]).alias("chunks"),
-            F.when(full, tail(acc["current"])).otherwise(acc["current"]).alias("current"),
-        )
-
-    start = F.struct(F.array(none).alias("chunks"), none.alias("current"))
-    start = F.struct(F.slice(start["chunks"], 1, 0).alias("chunks"), start["current"].alias("current"))
-
-    def step(acc: Column, x: Column) -> Column:
-        before = emit(acc, tokens(acc["current"]) + x["tokens"] > max_tokens)
-        added = F.struct(before["chunks"].alias("chunks"), F.array_append(before["current"], x).alias("current"))
-        return emit(added, tokens(added["current"]) >= max_tokens)
-
-    def finish(acc: Column) -> Column:
-        whole = F.when(F.size(acc["current"]) > 0, F.array_append(acc["chunks"], acc["current"])).otherwise(acc["chunks"])
-        return F.transform(whole, lambda c: F.transform(c, lambda x: x["block"]))
-
-    return F.aggregate(items, start, step, finish)
+    upto = [0, *accumulate(tokens)]
+    out, first = [], 0
+
+    def close(end: int) -> int:
+        """The next chunk's first block: the last one from which on the overlap is reached."""
+        out.append((first, end))
+        return end if overlap_tokens <= 0 else max(first, bisect_right(upto, upto[end] - overlap_tokens, hi=end) - 1)
+
+    for i in range(len(tokens)):
+        if first < i and upto[i + 1] - upto[first] > max_tokens:
+            first = close(i)
+        if upto[i + 1] - upto[first] >= max_tokens:
+            first = close(i + 1)
+    if first < len(tokens):
+        out.append((first, len(tokens)))
+    return out
+
+
+def _packer(max_tokens: int, overlap_tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, number, contents = [], [], []
+            for row, items in enumerate(batch.column("items").to_pylist()):
+                for k, (a, b) in enumerate(pack([x["tokens"] for x in items], max_tokens, overlap_tokens)):
+                    rows.append(row)
+                    number.append(k)
+                    contents.append("\n\n".join(x["block"] for x in items[a:b]))
+            kept = batch.select(["document_id", "section_no", "section"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(number, pa.int32()), pa.array(contents, pa.string())], names=["document_id", "section_no", "section", "k", "content"])
+
+    return run
 
 
 def chunk_documents(docs: DataFrame, key: str = "document_id", text: str = "markdown", max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, min_tokens: int = 0, count: Callable[[Column], Column] = token_count) -> DataFrame:
@@ -122,13 +122,14 @@ def chunk_documents(docs: DataFrame, key: str = "document_id", text: str = "mark
         F.array_sort(F.collect_list(F.struct("block_no", "block", "tokens"))), lambda x: F.struct(x["block"].alias("block"), x["tokens"].alias("tokens"))
     )
     per_section = b.groupBy("document_id", "section_no").agg(items.alias("items"), F.first("section").alias("section"))
-    packed = per_section.select("document_id", "section_no", "section", F.posexplode(pack(F.col("items"), max_tokens, overlap_tokens)).alias("k", "parts"))
+    kinds = {f.name: f.dataType.simpleString() for f in per_section.schema}
+    kind = ", ".join(f"{c} {kinds[c]}" for c in ("document_id", "section_no", "section")) + ", k int, content string"
+    packed = per_section.select("document_id", "section_no", "section", "items").mapInArrow(_packer(max_tokens, overlap_tokens), kind)
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("section_no", "k")) - 1
-    content = strip(F.array_join("parts", "\n\n"))
     out = packed.select(
         F.format_string("%s_chunk_%04d", F.col("document_id"), number).alias("chunk_id"),
         F.col("document_id").alias("document"),
         F.coalesce(F.nullif(F.array_join("section", PATH_SEPARATOR), F.lit("")), F.col("document_id").cast("string")).alias("section_path"),
-        content.alias("content"),
+        strip(F.col("content")).alias("content"),
     ).withColumn("token_count", count(F.col("content")))
     return out.where(F.col("token_count") >= min_tokens) if min_tokens else out

@@ -171,10 +171,23 @@ def page_documents(spark: SparkSession, folder: str, now: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A stored table, or an empty one of its contract where nothing is stored yet."""
+    """A stored table, or an empty one of its contract where nothing is stored yet.
+
+    If a run ended between the two steps that put a new table in the place of an old one, the new one, which was
+    complete by then, is put there.
+    """
     try:
         return spark.read.parquet(f"{root}/{table}")
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND" or table not in CONTRACTS:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        for kind in ("new", "old"):
+            left = [x.getPath() for x in fs.globStatus(path(f"{root}/{table}.{kind}-*")) or () if kind == "old" or fs.exists(path(x.getPath(), "_SUCCESS"))]
+            if left and fs.globStatus(path(f"{root}/{table}.old-*")):
+                fs.rename(left[-1], path(f"{root}/{table}"))
+                return spark.read.parquet(f"{root}/{table}")
+        if table not in CONTRACTS:
             raise
         return empty(spark, table)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.contracts import CONTRACTS, identifier
 from graphloom.operators.graph import Graph
-from graphloom.scratch import Scratch
+from graphloom.scratch import Scratch, is_local
 from graphloom.sources.files import read_table
 
 
@@ -99,8 +99,13 @@ def upsert_graph(graph: Graph, root: str, name: str) -> None:
         overwrite(new if stored is None else merged(getattr(stored, part), new, key), f"{root}/{identifier(name)}", part)
 
 
-def write_markdown_files(docs: DataFrame, folder: str) -> DataFrame:
-    """One ``.md`` file a document, written by the executors; document_id and markdown_path of each."""
+def write_markdown_files(docs: DataFrame, folder: str, shared: bool = False) -> DataFrame:
+    """One ``.md`` file a document, written by the executors; document_id and markdown_path of each.
+
+    On a cluster ``folder`` must be mounted on all executors, which the caller says by ``shared``; else ValueError.
+    """
+    if not (shared or is_local(docs.sparkSession)):
+        raise ValueError("on a cluster the files need a folder that all executors share")
 
     def run(batches):
         import pathlib

@@ -130,6 +130,6 @@ def chunk_documents(docs: DataFrame, key: str = "document_id", text: str = "mark
         F.format_string("%s_chunk_%04d", F.col("document_id"), number).alias("chunk_id"),
         F.col("document_id").alias("document"),
         F.coalesce(F.nullif(F.array_join("section", PATH_SEPARATOR), F.lit("")), F.col("document_id").cast("string")).alias("section_path"),
-        strip(F.col("content")).alias("content"),
+        "content",
     ).withColumn("token_count", count(F.col("content")))
     return out.where(F.col("token_count") >= min_tokens) if min_tokens else out

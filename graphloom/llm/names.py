@@ -45,6 +45,8 @@ TELLING = 64
 CROWDED, LEVELS, SIDE = 1 << 25, 3, 1 << 13
 #: Forms that pivots of a cell are chosen from, and pivots of one cell.
 SAMPLE, PIVOTS = 2048, 256
+#: Rows that a task works on at once, rows of a cell that go to one task, and words whose readings a task remembers.
+AT_ONCE, SHARED, REMEMBERED = 2048, 1 << 16, 1 << 16
 
 # Words that tell things apart as a number does.
 COMPASS = frozenset("north south east west".split())
@@ -181,6 +183,8 @@ class Vocabulary:
         if word in self.known:
             return ()
         if word not in self._long:
+            if len(self._long) >= REMEMBERED:
+                self._long.clear()
             self._long[word] = tuple(sorted(w for w in self._by_letter.get(word[0], ()) if abbreviates(word, w)))
         return self._long[word]
 
@@ -188,6 +192,8 @@ class Vocabulary:
         """How far a word is from a kind word of the type: 0 one itself, 1 short for one, from 2 on a slip, 9 none."""
         at = word, type_
         if at not in self._kind:
+            if len(self._kind) >= REMEMBERED:
+                self._kind.clear()
             kinds = self.kinds.get(type_, ())
             self._kind[at] = 0 if word in kinds else 1 if any(abbreviates(word, k) for k in kinds) else min((2 + d for k in kinds if (d := _slip(word, k))), default=9)
         return self._kind[at]
@@ -367,7 +373,12 @@ def _tokenizer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _former(v: Vocabulary):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(i, t, *f) for i, t, w in zip(b.id, b.type, b.words, strict=True) if len(w) for f in forms(t, list(w), v)]
+            out: list[tuple] = []
+            for i, t, w in zip(b.id, b.type, b.words, strict=True):
+                out += [(i, t, *f) for f in forms(t, list(w), v)] if len(w) else []
+                if len(out) >= 8 * AT_ONCE:  # a short word may have hundreds of readings
+                    yield pd.DataFrame(out, columns=["id", "type", "apart", "form", "rank", "clean"])
+                    out = []
             yield pd.DataFrame(out, columns=["id", "type", "apart", "form", "rank", "clean"])
 
     return run
@@ -397,7 +408,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         rest = rest.slice(start)
 
 
-def _choose(cells: pd.DataFrame) -> pd.DataFrame:
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pivots of each cell: of its sample, in the order of a checksum, each form that is far from all chosen before."""
 
     def far(texts: list[str], radius: int) -> list[str]:
@@ -409,26 +420,41 @@ def _choose(cells: pd.DataFrame) -> pd.DataFrame:
                 least = np.minimum(least, distances(f, everyone, f, np.full(len(everyone), k)))
         return out
 
-    return pd.DataFrame({"cell": cells.cell, "pivots": [far(list(x), int(r)) for x, r in zip(cells.texts, cells.radius, strict=True)]})
+    for batch in batches:
+        for k in range(len(batch)):  # one sample at a time
+            cell, texts, radius, n = (batch.column(i)[k].as_py() for i in range(4))
+            found = pa.array([far(texts, radius)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), found, pa.array([n], pa.int32())], names=["cell", "pivots", "n"])
 
 
 def _divide(radius: int):
-    """A probe goes to the cell of its nearest pivot; a target to those of all pivots at most 2 * radius farther than that."""
+    """A probe goes to the cell of its nearest pivot; a target to those of all pivots at most 2 * radius farther than that.
+
+    Rows (of _ROW and pivots) come in runs of a cell, each led by a row with its pivots; no more than AT_ONCE are held.
+    """
+
+    def divided(part: pa.RecordBatch, pivots: Forms) -> Iterator[pa.RecordBatch]:
+        forms_, n = Forms(part.column("form").to_pylist()), len(pivots.texts)
+        d = distances(forms_, np.repeat(np.arange(len(part)), n), pivots, np.tile(np.arange(n), len(part))).reshape(len(part), n)
+        probe, target = (part.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "target"))
+        home = d.argmin(1)
+        at_home = probe[:, None] & (np.arange(n) == home[:, None])
+        reached = target[:, None] & (d <= d.min(1, keepdims=True) + 2 * radius)
+        row, pivot = np.nonzero(at_home | reached)
+        cell = part.column("cell").to_numpy()[row] * 1000003 + pivot + 1
+        kept = part.select(["type", "apart", "form", "clean"]).take(pa.array(row))
+        columns = [pa.array(cell), kept["type"], kept["apart"], kept["form"], pa.array(reached[row, pivot]), kept["clean"], pa.array(at_home[row, pivot])]
+        yield from pa.table(columns, names=[c.split()[0] for c in _ROW.split(", ")]).to_batches(max_chunksize=8 * AT_ONCE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches, 1):
-            pivots = Forms(part.column("pivots")[0].as_py())
-            forms_, n = Forms(part.column("form").to_pylist()), len(pivots.texts)
-            d = distances(forms_, np.repeat(np.arange(len(part)), n), pivots, np.tile(np.arange(n), len(part))).reshape(len(part), n)
-            probe, target = (part.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "target"))
-            home = d.argmin(1)
-            at_home = probe[:, None] & (np.arange(n) == home[:, None])
-            reached = target[:, None] & (d <= d.min(1, keepdims=True) + 2 * radius)
-            row, pivot = np.nonzero(at_home | reached)
-            cell = part.column("cell").to_numpy()[row] * 1000003 + pivot + 1
-            kept = part.select(["type", "apart", "form", "clean"]).take(pa.array(row)).combine_chunks()
-            columns = [pa.array(cell), kept["type"], kept["apart"], kept["form"], pa.array(reached[row, pivot]), kept["clean"], pa.array(at_home[row, pivot])]
-            yield from pa.table(columns, names=[c.split()[0] for c in _ROW.split(", ")]).to_batches()
+        pivots = Forms([])
+        for batch in batches:
+            leads = np.flatnonzero(batch.column("pivots").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for start, end in zip([-1, *leads], [*leads, len(batch)], strict=True):
+                if start >= 0:
+                    pivots = Forms(batch.column("pivots")[start].as_py())
+                for k in range(start + 1, end, AT_ONCE):
+                    yield from divided(batch.slice(k, min(AT_ONCE, end - k)), pivots)
 
     return run
 
@@ -444,9 +470,11 @@ def _searcher(radius: int):
             most = np.where(p.length > 8, radius, 1)  # a short name may hold one slip only
             for i, j, d in near_pairs(p, t, most):
                 i, j, d = (x[d > 0] for x in (i, j, d))
-                left, right = part.take(pa.array(probe[i])), part.take(pa.array(target[j]))
-                columns = [left["type"], left["apart"], left["form"], right["form"], pa.array(d.astype(np.int32)), right["clean"]]
-                yield from pa.table(columns, names=[c.split()[0] for c in _MATCH.split(", ")]).to_batches()
+                for s in range(0, len(i), 8 * AT_ONCE):
+                    some = slice(s, s + 8 * AT_ONCE)
+                    left, right = part.take(pa.array(probe[i[some]])), part.take(pa.array(target[j[some]]))
+                    columns = [left["type"], left["apart"], left["form"], right["form"], pa.array(d[some].astype(np.int32)), right["clean"]]
+                    yield from pa.table(columns, names=[c.split()[0] for c in _MATCH.split(", ")]).to_batches()
 
     return run
 
@@ -463,17 +491,20 @@ def near_forms(kinds: DataFrame, scratch: Scratch, radius: int = RADIUS, crowded
     done: list[DataFrame] = []
     for _ in range(LEVELS):
         size = rows.groupBy("cell").agg(F.count_if("target").alias("t"), F.count_if("probe").alias("p"))
-        large = scratch.cut(size.where(F.col("t") * F.col("p") > crowded).select("cell", F.lit(SAMPLE).alias("s") / (F.col("t") + F.col("p")) * (1 << 30)))
-        large = large.toDF("cell", "limit")
+        share, tasks = F.lit(SAMPLE) / (F.col("t") + F.col("p")) * (1 << 30), F.ceil((F.col("t") + F.col("p")) / SHARED).cast("int")
+        large = scratch.cut(size.where(F.col("t") * F.col("p") > crowded).select("cell", share.alias("limit"), tasks.alias("n")))
         if not large.limit(1).count():
             break
         done.append(rows.join(large, "cell", "left_anti"))
         some = rows.join(large, "cell").where(F.pmod(F.xxhash64("form", F.lit(7)), F.lit(1 << 30)) < F.col("limit"))
-        some = some.groupBy("cell").agg(F.collect_set("form").alias("texts")).withColumn("radius", F.lit(radius))
-        pivots = scratch.cut(some.mapInPandas(lambda b: (_choose(x) for x in b), "cell bigint, pivots array<string>").where("size(pivots) > 0"))
+        some = some.groupBy("cell", "n").agg(F.collect_set("form").alias("texts")).select("cell", "texts", F.lit(radius), "n")
+        pivots = scratch.cut(some.mapInArrow(_choose, "cell bigint, pivots array<string>, n int").where("size(pivots) > 0"))
         done.append(rows.join(large, "cell", "left_semi").join(pivots, "cell", "left_anti"))
-        # a cell's rows may go to several tasks
-        moved = rows.join(pivots, "cell").repartition(parts, "cell", F.pmod(F.xxhash64("form"), F.lit(parts))).sortWithinPartitions("cell")
+        # a cell's rows go to as many tasks as they fill, and its pivots once to each
+        lead = pivots.select("cell", "pivots", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+        moved = rows.join(pivots.select("cell", "n"), "cell").withColumn("part", F.pmod(F.xxhash64("form"), "n").cast("int")).drop("n")
+        moved = moved.unionByName(lead, allowMissingColumns=True).repartition(max(parts, int(pivots.agg(F.sum("n")).first()[0] or 0) // 8), "cell", "part")
+        moved = moved.sortWithinPartitions("cell", "part", F.col("pivots").isNull()).drop("part")
         rows = scratch.cut(moved.mapInArrow(_divide(radius), _ROW))
     for x in done:
         rows = rows.unionByName(x.select(rows.columns))

@@ -144,6 +144,25 @@ def test_near_forms_equal_brute_force(spark, crowded, side):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_cells_are_divided_without_being_gathered():
+    pivots, read = ["lineage", "settlement"], []
+
+    def rows():
+        for k in range(50):
+            forms = [f"lineage{k}x{i}" for i in range(100)]
+            lead = k == 0
+            read.append(k)
+            yield pa.RecordBatch.from_pydict({
+                "cell": pa.array([5] * (100 + lead)), "type": ["t"] * (100 + lead), "apart": [""] * (100 + lead), "form": [None] * lead + forms, "target": [True] * (100 + lead),
+                "clean": [True] * (100 + lead), "probe": [True] * (100 + lead), "pivots": pa.array([pivots] * lead + [None] * 100, pa.list_(pa.string())),
+            })
+
+    out = names._divide(2)(rows())
+    first = next(out)
+    assert read == [0] and set(first.column("form").to_pylist()) == {f"lineage0x{i}" for i in range(100)}
+    assert len(first) + sum(map(len, out)) >= 5000 and len(read) == 50
+
+
 SYLLABLES = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.scratch import Scratch
 
 MAX_HOPS, MAX_LIMIT, MAX_QUERY = 3, 100, 4000
+#: Directed edges that a task holds to walk along, and rows of a batch that it gives.
+WALKED, GIVEN = 3 << 20, 1 << 15
 # The texts of the context.
 NOTHING = "No approved knowledge graph content was found for this query."
 EXCERPTS = "Relevant excerpts from approved documents:"
@@ -182,21 +186,127 @@ def linked_documents_each(docs: DataFrame, links: DataFrame, seeds: DataFrame, h
     return found.select("query", F.col("id").alias("document_id"), "name", "source_name", F.col("labels").alias("answer_labels")).distinct()
 
 
-def breadth_first_each(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:
-    """Q7 for each query apart: query and the columns of ``breadth_first``. edges: a, b, label; seeds: query, id."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """Ascending numbers, compressed."""
+    return zlib.compress(np.diff(numbers, prepend=0).astype("<i8").tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<i8"))
+
+
+class _Walked:
+    """Edges into a part of the nodes, by their starts; nodes have places in the order of their numbers."""
+
+    def __init__(self, nodes: list[pa.RecordBatch], steps: list[pa.RecordBatch]) -> None:
+        at, names = (pa.chunked_array([b.column(c) for b in nodes]) for c in ("at", "name"))
+        order = np.argsort(at.to_numpy())
+        self.numbers, self.names = at.to_numpy()[order], names.combine_chunks().take(pa.array(order))
+        start, end = (np.searchsorted(self.numbers, np.concatenate([b.column(c).to_numpy() for b in steps])).astype(np.int32) for c in ("at", "to"))
+        order = np.argsort(start, kind="stable")
+        self.start, self.end = start[order], end[order]
+        self.label = pa.chunked_array([b.column("label") for b in steps]).combine_chunks().dictionary_encode().take(pa.array(order))
+        self.first = np.searchsorted(self.start, np.arange(len(self.numbers) + 1))
+
+    def places(self, numbers: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.numbers, numbers), len(self.numbers) - 1)
+        return np.unique(place[self.numbers[place] == numbers])
+
+    def reached(self, front: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes beside the front that aren't seen, and of each the edge from the least node of the front."""
+        n = self.first[front + 1] - self.first[front]
+        edge = np.repeat(self.first[front] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        by = np.full(len(self.numbers), -1, np.int64)
+        by[self.end[edge][::-1]] = edge[::-1]  # the last that is written is the first
+        new = np.flatnonzero((by >= 0) & ~seen)
+        return new, by[new]
+
+
+def _walk(hops: range, given: bool):
+    """Rows of ``breadth_first_each`` of the hops, or (not given) query and numbers of the nodes of the only one.
+
+    Rows come in runs of a slot: nodes (kind 0), steps (1), queries (2) with the nodes found at each hop before.
+    """
+
+    def walked(edges: _Walked, row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        query, seeds, fronts = row.column("query"), row.column("seeds")[0].as_py(), row.column("fronts")[0].as_py()
+        found = [edges.places(np.asarray(seeds, np.int64)), *(edges.places(np.concatenate([_unpacked(x) for x in f])) for f in fronts)]
+        seen = np.zeros(len(edges.numbers), bool)
+        for f in found:
+            seen[f] = True
+        front = found[-1]
+        for hop in hops:
+            front, edge = edges.reached(front, seen)
+            seen[front] = True
+            if not given and len(front):
+                yield pa.RecordBatch.from_arrays([query, pa.array([_packed(edges.numbers[front])])], names=["query", "found"])
+            for k in range(0, len(front) if given else 0, GIVEN):
+                to, by = front[k : k + GIVEN], edge[k : k + GIVEN]
+                columns = [edges.names.take(pa.array(to)), edges.names.take(pa.array(edges.start[by])), edges.label.take(pa.array(by)).dictionary_decode()]
+                yield pa.RecordBatch.from_arrays(
+                    [query.take(pa.array(np.zeros(len(to), np.int32))), *columns, pa.array(np.full(len(to), hop, np.int32))], names=["query", "target_id", "source_id", "label", "hop"]
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts, edges = None, ([], []), None
+        for batch in batches:
+            slot, kind = (batch.column(c).to_numpy() for c in ("slot", "kind"))
+            cut = np.flatnonzero(np.concatenate([[True], (slot[1:] != slot[:-1]) | (kind[1:] != kind[:-1]), [True]])) if len(slot) else np.zeros(1, int)
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if slot[a] != last:
+                    last, parts, edges = slot[a], ([], []), None
+                if kind[a] < 2:
+                    parts[kind[a]].append(batch.select(["at", "name"] if kind[a] == 0 else ["at", "to", "label"]).slice(a, b - a))
+                    continue
+                if edges is None and parts[1]:
+                    edges, parts = _Walked(*parts), ([], [])
+                for k in range(a, b if edges is not None else a):
+                    yield from walked(edges, batch.slice(k, 1))
+
+    return run
+
+
+def breadth_first_each(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False, walked: int = WALKED) -> DataFrame:
+    """Q7 for each query apart: query and the columns of ``breadth_first``. edges: a, b, label; seeds: query, id.
+
+    Edges with a null end lead nowhere. Queries may reach nearly all nodes each, so what they find is neither shuffled
+    nor written before it is returned: nodes become numbers in their order, a task holds the edges into some of them,
+    ``walked`` at most (besides those into one node), and takes its queries one by one. If there are more edges than
+    that, the nodes found on the way move between hops as compressed numbers.
+    """
     hops, _ = clamp(hops, 1)
-    e = edges.select("a", "b", "label")
+    spark, scratch = edges.sparkSession, Scratch(edges.sparkSession, "breadth")
+    e = edges.select("a", "b", "label").where("a is not null and b is not null and a <> b")
     steps = e if directed else e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "label"))
-    scratch = Scratch(edges.sparkSession, "breadth")
-    front = scratch.cut(seeds.select("query", "id").distinct())
-    visited, out = front, None
-    for hop in range(1, hops + 1):
-        new = front.join(steps, F.col("id") == F.col("a")).select("query", F.col("b").alias("id"), F.col("a").alias("source_id"), "label").join(visited, ["query", "id"], "left_anti")
-        new = scratch.cut(new.groupBy("query", "id").agg(F.min(F.struct("source_id", "label")).alias("x")).select("query", "id", "x.source_id", "x.label"))
-        found = new.select("query", F.col("id").alias("target_id"), "source_id", "label", F.lit(hop).alias("hop"))
-        out = found if out is None else out.unionByName(found)
-        front = new.select("query", "id")
-        visited = visited.unionByName(front)
+    steps = scratch.cut(steps.groupBy("a", "b").agg(F.min(F.struct("label")).alias("x")).select("a", "b", "x.label"))
+    nodes = steps.select(F.explode(F.array("a", "b")).alias("id")).distinct().orderBy("id").withColumn("n", F.monotonically_increasing_id())
+    nodes = scratch.cut(nodes)
+    numbered = steps.join(nodes.select(F.col("id").alias("a"), F.col("n").alias("at")), "a").join(nodes.select(F.col("id").alias("b"), F.col("n").alias("to")), "b")
+    blocks = max(1, -(-steps.count() // walked))
+    shards = max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks))
+    steps = scratch.cut(numbered.select(F.pmod(F.xxhash64("to"), F.lit(blocks)).cast("int").alias("block"), "at", "to", "label"))
+    ends = steps.select("block", F.explode(F.array("at", "to")).alias("at")).distinct().join(nodes.select(F.col("n").alias("at"), F.col("id").alias("name")), "at")
+    asked = seeds.select("query", "id").join(nodes, "id").groupBy("query").agg(F.collect_set("n").alias("seeds"))
+    asked = scratch.cut(asked.withColumn("fronts", F.array().cast("array<array<binary>>")))
+    kind, of, label = (df.schema[c].dataType.simpleString() for df, c in ((seeds, "query"), (nodes, "id"), (steps, "label")))
+
+    def found(asked: DataFrame, over: range, given: bool) -> DataFrame:
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        shard = F.pmod(F.xxhash64("query"), F.lit(shards)).cast("int")
+        rows = ends.withColumn("shard", every(shards)).withColumn("kind", F.lit(0))
+        rows = rows.unionByName(steps.withColumn("shard", every(shards)).withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        rows = rows.unionByName(asked.withColumn("block", every(blocks)).withColumn("shard", shard).withColumn("kind", F.lit(2)), allowMissingColumns=True)
+        rows = rows.withColumn("slot", F.col("block") * shards + F.col("shard")).drop("block", "shard")
+        rows = rows.repartitionById(blocks * shards, F.col("slot")).sortWithinPartitions("slot", "kind")
+        return rows.mapInArrow(_walk(over, given), f"query {kind}, target_id {of}, source_id {of}, label {label}, hop int" if given else f"query {kind}, found binary")
+
+    if blocks == 1:
+        return found(asked, range(1, hops + 1), True)
+    out = found(asked, range(1, 2), True)
+    for hop in range(1, hops):
+        new = found(asked, range(hop, hop + 1), False).groupBy("query").agg(F.collect_list("found").alias("new"))
+        asked = scratch.cut(asked.join(new, "query").select("query", "seeds", F.array_append("fronts", F.col("new")).alias("fronts")))
+        out = out.unionByName(found(asked, range(hop + 1, hop + 2), True))
     return out
 
 

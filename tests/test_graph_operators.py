@@ -251,6 +251,21 @@ def test_every_query_apart(spark):
         assert each == [x.chunk_id for x in retrieval.top_k(v, r.v, 4).orderBy(F.desc(F.round("similarity", 9)), "chunk_id").collect()]
 
 
+def test_breadth_first_shuffles_no_found_node(spark):
+    rnd = random.Random(5)
+    rows = [(f"n{rnd.randrange(60):02d}", f"n{rnd.randrange(60):02d}", rnd.choice("XYZ")) for _ in range(90)] + [("hub", f"n{i:02d}", "X") for i in range(0, 60, 2)]
+    edges = spark.createDataFrame([*rows, ("n01", "n01", "W"), ("n03", "n04", None)], "a string, b string, label string")
+    asked = spark.createDataFrame([("q1", "hub"), ("q1", "n01"), ("q2", "n03"), ("q3", "n05"), ("q3", "n05"), ("q4", "none")], "query string, id string")
+    for hops, directed in ((1, False), (2, True), (3, False)):
+        want = [(q, *r) for q in ("q1", "q2", "q3") for r in retrieval.breadth_first(edges, asked.where(f"query = '{q}'").select("id"), hops, directed).collect()]
+        for walked in (retrieval.WALKED, 70):  # all edges at once, and parts of the targets
+            got = retrieval.breadth_first_each(edges, asked, hops, directed, walked)
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    plan = retrieval.breadth_first_each(edges, asked, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan.split("Exchange")[0]  # nothing moves what was found
+    assert retrieval.breadth_first_each(edges.limit(0), asked, 2).count() == retrieval.breadth_first_each(edges, asked.limit(0), 2).count() == 0
+
+
 def test_retrieval(spark):
     c = spark.createDataFrame([("c0", "d1", "about billing"), ("c1", "d2", "about mail")], "id string, document string, content string")
     embedder = embed.hashing_embedder(16)

@@ -4,7 +4,7 @@ A unit vector is turned by fast pseudo-random rotations (sign flips and Hadamard
 nearest signed axis; a few such hashes together name a bucket. Each table holds a vector in its own bucket and in the
 next best one, and all vectors that meet in a bucket are compared, so the best of all tables need no further look at
 the vectors. Vectors travel as codes of 16 bits a coordinate, with which cosines are right to some 2e-5. Crowded
-buckets are hashed again by the directions in which their members lie from their mean.
+buckets are compared in blocks, whatever their size.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,10 +21,8 @@ from graphloom.scratch import Scratch
 
 #: Tables, and vectors that a bucket should hold at most by choice of the number of hashes.
 TABLES, BUCKET = 5, 64
-#: Members from which a bucket is crowded, up to which a crowded one is compared whole, and the side of the blocks for it.
-HOT, WHOLE, SIDE = 4096, 1 << 16, 2048
-#: Times that larger ones are hashed again, each time in so many times the tables.
-AGAIN, MORE = 3, 3
+#: Members from which a bucket is crowded, from which its blocks grow with it, their side up to there and at most, and cosines held at once.
+HOT, WHOLE, SIDE, WIDEST, HELD = 4096, 1 << 16, 2048, 1 << 15, 1 << 22
 #: Vectors that are searched for at once where the tables gave too few.
 QUERIES = 4096
 #: Codes a unit vector's coordinate has on either side of 0.
@@ -129,37 +126,6 @@ def _hasher(numbers: dict[str, tuple[int, int]], tables: int):
     return run
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each group (group, uid, q) in a partition the sum of its unit vectors."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        group = batch.column(0).to_numpy()
-        for g in np.unique(group):
-            x = _decoded(batch.column(2).filter(pa.array(group == g))).sum(axis=0, dtype=np.float64)
-            sums[g] = sums[g] + x if g in sums else x
-    for g, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([x.tolist()])], names=["group", "mean"])
-
-
-def _again(tables: int, depth: int):
-    """Codes with buckets by the directions from the group's mean; rows: uid, q, group, mean, hashes, in runs of a group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group = batch.column(2).to_numpy()
-            for g in np.unique(group):
-                part = batch.filter(pa.array(group == g))
-                mean = np.asarray(part.column(3)[0].as_py(), np.float32)
-                x = _decoded(part.column(1))
-                x = x - mean / np.linalg.norm(mean)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                own = np.uint64((int(g) * 0xBF58476D1CE4E5B9 + depth) % (1 << 64))
-                keys = [(code * np.uint64(tables) + np.uint64(t + 1)) * np.uint64(0x9E3779B97F4A7C15) ^ own for t in range(tables) for code in buckets(x, t + 16 * depth, int(part.column(4)[0].as_py()))]
-                yield _coded(part.column(0), part.column(1), keys)
-
-    return run
-
-
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest of each row, largest first."""
     if sims.shape[1] > k:
@@ -185,12 +151,13 @@ def _comparer(k: int):
         x = x[first]
         if len(ids) < 2:
             return
-        for a in range(0, len(ids), 1024):
-            sims = x[a : a + 1024] @ x.T
+        step = max(16, min(1024, HELD // len(ids)))
+        for a in range(0, len(ids), step):
+            sims = x[a : a + step] @ x.T
             rows = np.arange(len(sims))
             sims[rows, rows + a] = -2
             top = _top(sims, min(k, len(ids) - 1))
-            out[0].append(ids[a : a + 1024])
+            out[0].append(ids[a : a + step])
             out[1].append(ids[top].ravel())
             out[2].append(np.take_along_axis(sims, top, 1).ravel())
             out[3].append(np.full(len(sims), top.shape[1], np.int64))
@@ -276,9 +243,9 @@ def nearest(vectors: DataFrame, k: int = 5, tables: int = TABLES, bucket: int =
     fewer than k rows only if its model has at most k vectors. An empty table gives an empty result.
 
     The number of hashes follows the number of vectors, so buckets keep their size. Vectors of equal codes are copies
-    and are searched for once. Buckets of more than ``hot`` members are compared in blocks, each with each other; those
-    of more than ``whole``, at which that becomes too much, are hashed again, as the tables of a dense cluster's
-    directions have smaller buckets. Vectors for which the tables give fewer than k others
+    and are searched for once. Buckets of more than ``hot`` members are compared in blocks, each with each other, so
+    all that meet in a bucket are compared at any size, at quadratic cost; from ``whole`` members on the blocks grow with
+    the bucket, so that a vector isn't sent to ever more of them. Vectors for which the tables give fewer than k others
     are looked up in wider buckets, and if that isn't enough compared with all, in blocks.
     """
     spark = vectors.sparkSession
@@ -301,7 +268,7 @@ def nearest(vectors: DataFrame, k: int = 5, tables: int = TABLES, bucket: int =
         index = scratch.cut(unit.join(members.where("uid <> rep").select("uid"), "uid", "left_anti"))
     small = index.select("uid", "model", "q")
     coded = scratch.cut(small.mapInArrow(_hasher(numbers, tables), _CODED))
-    lists = scratch.cut(_merge(_meet(coded, k, tables, hot, whole, scratch), k))
+    lists = scratch.cut(_merge(_meet(coded, k, hot, whole, scratch), k))
     left = index.groupBy("model").agg(F.least(F.lit(k), F.count("*") - 1).alias("want"))
     want = index.select("uid", "model").join(left, "model").select("uid", "want")
     short = scratch.cut(want.join(lists.select("uid", F.size("c").alias("n")), "uid", "left").where("coalesce(n, 0) < want").select("uid"))
@@ -312,7 +279,7 @@ def nearest(vectors: DataFrame, k: int = 5, tables: int = TABLES, bucket: int =
             asked = wide.join(short, "uid", "left_semi").select(F.explode(F.array_distinct("b")).alias("bucket")).distinct()
             near = wide.select("uid", "q", F.explode(F.array_distinct("b")).alias("bucket")).join(asked, "bucket", "left_semi")
             near = near.groupBy("uid", "q").agg(F.collect_list("bucket").alias("b"))
-            more = _meet(scratch.cut(near), k, tables, hot, whole, scratch).unionByName(lists)
+            more = _meet(scratch.cut(near), k, hot, whole, scratch).unionByName(lists)
             lists = scratch.cut(_merge(more, k))
             short = scratch.cut(want.join(lists.select("uid", F.size("c").alias("n")), "uid", "left").where("coalesce(n, 0) < want").select("uid"))
         if short.limit(1).count():
@@ -331,44 +298,23 @@ def nearest(vectors: DataFrame, k: int = 5, tables: int = TABLES, bucket: int =
     return out.select("key", "other", F.col("s").cast("double").alias("similarity"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
-def _meet(coded: DataFrame, k: int, tables: int, hot: int, whole: int, scratch: Scratch) -> DataFrame:
-    """The best k of each vector in each bucket it stands in (uid, c)."""
-    out = None
-
-    def compared(rows: DataFrame) -> None:
-        nonlocal out
-        one = rows.select("bucket", "uid", "q").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_comparer(k), _FOUND)
-        out = one if out is None else out.unionByName(one)
-
-    for depth in range(AGAIN + 1):
-        rows = coded.select(F.explode(F.array_distinct("b")).alias("bucket"), "uid", "q")
-        large = scratch.cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > hot))
-        if not large.limit(1).count():
-            compared(rows)
-            break
-        compared(rows.join(large, "bucket", "left_anti"))
-        # dense vectors stand in a crowded bucket in every table: the two largest of each vector count
-        two = F.slice(F.sort_array(F.collect_list(F.struct("n", "bucket")), asc=False), 1, 2)
-        named = coded.select("uid", F.explode(F.array_distinct("b")).alias("bucket")).join(large, "bucket")
-        of = named.groupBy("uid").agg(two.alias("x")).select("uid", F.explode("x").alias("x")).select("uid", F.col("x.bucket").alias("group"))
-        of = scratch.cut(of.join(coded.select("uid", "q").dropDuplicates(["uid"]), "uid").select("group", "uid", "q"))
-        size = of.groupBy("group").agg(F.count("*").alias("n"), F.max(F.octet_length("q") / 2).alias("d"))
-        limit = whole if depth < AGAIN else 1 << 62
-        # blocks of a group's members, each compared with each other
-        blocks = of.join(size.where(F.col("n") <= limit), "group").withColumn("blocks", F.ceil(F.col("n") / SIDE).cast("int")).withColumn("i", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
-        blocks = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        compared(blocks.select(F.xxhash64("group", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "uid", "q"))
-        large = size.where(F.col("n") > limit)
-        if not large.limit(1).count():
-            break
-        mean = of.mapInArrow(_sums, "group bigint, mean array<double>").groupBy("group").applyInPandas(
-            lambda x: pd.DataFrame({"group": x["group"][:1], "mean": [np.sum(np.stack(x["mean"]), axis=0)]}), "group bigint, mean array<double>"
-        )
-        tables *= MORE
-        count = F.greatest(F.lit(1), F.ceil(F.log(F.col("n") * 4 / hot) / F.log(F.pow(F.lit(2.0), F.ceil(F.log2("d")) + 1)) - 0.05)).cast("int").alias("hashes")
-        about = scratch.cut(large.join(mean, "group").select("group", "mean", count))
-        coded = scratch.cut(of.join(about, "group").select("uid", "q", "group", "mean", "hashes").mapInArrow(_again(tables, depth + 1), _CODED))
-    return out
+def _meet(coded: DataFrame, k: int, hot: int, whole: int, scratch: Scratch) -> DataFrame:
+    """The best k of each vector in each bucket it stands in (uid, c); of crowded buckets with the same members one counts."""
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.select("bucket", "uid", "q").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_comparer(k), _FOUND)
+
+    rows = coded.select(F.explode(F.array_distinct("b")).alias("bucket"), "uid", "q")
+    h = F.xxhash64("uid")
+    members = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"))
+    large = scratch.cut(members.where(F.col("n") > hot))
+    if not large.limit(1).count():
+        return compared(rows)
+    side = F.when(F.col("n") <= whole, F.lit(SIDE)).otherwise(F.greatest(F.lit(SIDE), F.least(F.lit(WIDEST), F.ceil(F.col("n") * SIDE / whole))))
+    different = large.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / side).cast("int").alias("blocks"))
+    blocks = rows.join(different, "bucket").withColumn("i", F.pmod(h, "blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    of = F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket")
+    return compared(rows.join(large, "bucket", "left_anti")).unionByName(compared(blocks.select(of, "uid", "q")))
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:

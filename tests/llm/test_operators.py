@@ -101,6 +101,16 @@ def test_nearest_recall_in_a_dense_cluster(spark, monkeypatch):
         assert len(want & got) / len(want) > (0.98 if whole == neighbors.WHOLE else 0.85)
 
 
+def test_crowded_buckets_lose_no_partner(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=64) + rng.normal(size=(250, 64)) * 0.4, rng.normal(size=(150, 64))])
+    df = spark.createDataFrame([(f"v{i:03d}", "m-64", v.tolist()) for i, v in enumerate(x)], "key string, model string, v array<float>")
+    want = {(r.key, r.other) for r in neighbors.nearest(df, k=5, bucket=16).collect()}  # none is crowded
+    monkeypatch.setattr(neighbors, "SIDE", 30)
+    monkeypatch.setattr(neighbors, "HELD", 500)
+    assert {(r.key, r.other) for r in neighbors.nearest(df, k=5, bucket=16, hot=20, whole=60).collect()} == want
+
+
 def test_usable_vectors(spark):
     nan = float("nan")
     rows = [

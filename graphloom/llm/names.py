@@ -16,7 +16,8 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -36,11 +37,9 @@ MUCH = 10
 KIND_SHARE = 0.1
 #: A word is noise if so many of its names are given without it as well.
 NOISE = 0.4
-#: An alias occurs in this share of the names (so aliases are at most some hundred thousand), in some contexts at
-#: least; of these it must share so many with its meaning, which is so many times as frequent.
-ALIAS_SHARE, CONTEXTS, AGREE, TIMES = 2e-5, 3, 0.3, 3
-#: Different words that a context may have to tell anything about two of them.
-TELLING = 64
+#: An alias occurs in some contexts at least; of these it must share so many with its meaning, which is so many times as
+#: frequent. Those in this share of the names (at most some hundred thousand) go through the driver, the others by joins.
+CONTEXTS, AGREE, TIMES, ALIAS_SHARE = 3, 0.3, 3, 2e-5
 #: Pairs of probes and targets from which a cell is divided again, levels of division, and the sides of a block.
 CROWDED, LEVELS, SIDE = 1 << 25, 3, 1 << 13
 #: Forms that pivots of a cell are chosen from, and pivots of one cell.
@@ -265,8 +264,11 @@ def _contexts(kinds: dict[str, tuple[str, ...]]):
     return run
 
 
-def learn(words: DataFrame, scratch: Scratch, nicknames: dict[str, tuple[str, ...]] | None = None, radius: int = RADIUS) -> Vocabulary:
-    """Vocabulary of names (type, words). What reaches the driver is bounded by shares of the names, whatever their number."""
+def learn(words: DataFrame, scratch: Scratch, nicknames: dict[str, tuple[str, ...]] | None = None, radius: int = RADIUS) -> tuple[Vocabulary, DataFrame | None]:
+    """Vocabulary of names (type, words), and the aliases too rare for it (w, meanings), if there may be any.
+
+    What reaches the driver is bounded by shares of the names, whatever their number; rarer aliases don't pass it.
+    """
     total = words.count()
     enough = max(AT_LEAST, SHARE * total)
     each = words.select("type", F.explode(F.array_distinct("words")).alias("w"))
@@ -283,33 +285,52 @@ def learn(words: DataFrame, scratch: Scratch, nicknames: dict[str, tuple[str, ..
     whole = told.where("w is null").select("type", "rest").withColumn("given", F.lit(1))
     lost = beside.join(whole, ["type", "rest"], "left").groupBy("w").agg(F.count("*").alias("n"), F.count("given").alias("without"))
     noise = frozenset(r.w for r in lost.where((F.col("n") >= enough) & (F.col("without") >= NOISE * F.col("n"))).collect())
-    # of contexts with few words: how much of a rare word's contexts holds a frequent one
-    often = scratch.cut(beside.groupBy("w").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= max(CONTEXTS, ALIAS_SHARE * total)))
-    narrow = beside.groupBy("type", "rest").agg(F.count("*").alias("k")).where(f"k between 2 and {TELLING}")
+    # how much of a rare word's contexts holds a frequent one; in wide contexts each word weighs less
+    often = scratch.cut(beside.groupBy("w").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS))
+    narrow = beside.groupBy("type", "rest").agg(F.count("*").alias("k")).where("k >= 2")
     seen = scratch.cut(beside.join(narrow, ["type", "rest"]).join(often, "w").select("type", "rest", "w", "k", "contexts"))
+    # two words weigh together at most what either weighs in all its contexts, so words of less than 1 have no part in a pair
+    able = seen.groupBy("w").agg(F.sum(1 / (F.col("k") - 1)).alias("all")).where(F.col("all") >= 1 - 1e-9).select("w")
+    seen = scratch.cut(seen.join(able, "w", "left_semi"))
     both = seen.join(seen.select("type", "rest", F.col("w").alias("of"), F.col("contexts").alias("others")), ["type", "rest"]).where("others >= contexts and w <> of")
     both = both.groupBy("w", "of", "contexts", "others").agg(F.count("*").alias("n"), F.sum(1 / (F.col("k") - 1)).alias("weight"))
     both = both.where((F.col("n") >= CONTEXTS) & (F.col("weight") >= 1) & (F.col("n") >= AGREE * F.col("contexts")))
     # a short form may be nearly as frequent as the word
     both = both.where(f"others >= {TIMES} * contexts or (left(w, 1) = left(of, 1) and length(w) + 2 <= length(of))")
     best = both.groupBy("w").agg(F.max("n").alias("best"))
+    told = both.join(best, "w").where("3 * n >= 2 * best").select("w", "of", "contexts", "others")
+    share = ALIAS_SHARE * total
+    if share > CONTEXTS:
+        told = scratch.cut(told)
     meanings: dict[str, list[str]] = {}
-    for r in both.join(best, "w").where("3 * n >= 2 * best").select("w", "of", "contexts", "others").collect():
+    for r in told.where(F.col("contexts") >= share).collect():
         if r.w not in noise and r.of not in noise and (r.others >= TIMES * r.contexts or abbreviates(r.w, r.of)):
             meanings.setdefault(r.w, []).append(r.of)
     # a meaning that is itself an alias means what that one means
     aliases = {w: tuple(sorted({x for m in ms for x in (meanings.get(m) or [m])} - {w})) for w, ms in meanings.items()}
-    return Vocabulary(counts, kinds, noise, {w: ms for w, ms in aliases.items() if ms}, nicknames, radius)
+    v = Vocabulary(counts, kinds, noise, {w: ms for w, ms in aliases.items() if ms}, nicknames, radius)
+    return v, _rare_aliases(told, noise, share) if share > CONTEXTS else None
+
+
+def _rare_aliases(told: DataFrame, noise: frozenset[str], share: float) -> DataFrame:
+    """w, meanings of the aliases that ``learn`` doesn't take to the driver, by the same rules."""
+    short = F.udf(abbreviates, "boolean")
+    right = told.where(~F.col("w").isin(*sorted(noise)) & ~F.col("of").isin(*sorted(noise))) if noise else told
+    right = right.where((F.col("others") >= TIMES * F.col("contexts")) | short("w", "of")).select("w", "of", "contexts")
+    again = right.select(F.col("w").alias("of"), F.col("of").alias("meant"))
+    meant = right.where(F.col("contexts") < share).join(again, "of", "left").select("w", F.coalesce("meant", "of").alias("m")).where("w <> m")
+    return meant.groupBy("w").agg(F.array_sort(F.collect_set("m")).alias("meanings"))
 
 
-def forms(type_: str, words: list[str], v: Vocabulary) -> list[tuple[str, str, int, bool]]:
+def forms(type_: str, words: list[str], v: Vocabulary, rare: Mapping[str, tuple[str, ...]] | None = None) -> list[tuple[str, str, int, bool]]:
     """(apart, form, rank, clean) of a name: rank 0 its own form, 1 the same words in another order, 2 a guess.
 
-    apart: what must be equal besides. clean: all its words are established.
+    apart: what must be equal besides. clean: all its words are established. rare: more aliases of its words.
     """
+    known = ChainMap(v.aliases, rare) if rare else v.aliases
     words = [w for w in words if w not in v.noise] or words
     if type_ in PERSON_TYPES:
-        return _person_forms(words, v)
+        return _person_forms(words, v, known)
     apart = sorted(w for w in words if is_apart(w))
     rest = [w for w in words if not is_apart(w)]
     joined, i = [], 0
@@ -317,7 +338,7 @@ def forms(type_: str, words: list[str], v: Vocabulary) -> list[tuple[str, str, i
         two = rest[i] + rest[i + 1] if i + 1 < len(rest) else ""
         joined.append(two if two in v.kinds.get(type_, ()) else rest[i])
         i += 2 if joined[-1] == two else 1
-    single = [v.aliases[w][0] if len(v.aliases.get(w, ())) == 1 else w for w in joined]
+    single = [known[w][0] if len(known.get(w, ())) == 1 else w for w in joined]
     keep = [w for w in single if v.kind_distance(w, type_)]
     if len(keep) == len(single) > 1:
         # no kind word: one that may be short for one or a slip of one, the nearest and last
@@ -331,13 +352,13 @@ def forms(type_: str, words: list[str], v: Vocabulary) -> list[tuple[str, str, i
     out = [(tag, "".join(keep), 0, clean), *((tag, t, 1, clean) for t in sorted(turned))]
     if len(keep) > 1:
         for i, w in enumerate(keep):
-            for long in v.aliases.get(w) or v.long_forms(w):
+            for long in known.get(w) or v.long_forms(w):
                 other = [*keep[:i], long, *keep[i + 1 :]]
                 out += [(tag, "".join(other[k:] + other[:k]), 2, all(x in v.firm for x in other)) for k in range(len(other))]
     return out
 
 
-def _person_forms(words: list[str], v: Vocabulary) -> list[tuple[str, str, int, bool]]:
+def _person_forms(words: list[str], v: Vocabulary, aliases: Mapping[str, tuple[str, ...]]) -> list[tuple[str, str, int, bool]]:
     """A name in its order and turned; either end may be the surname, so an initial is taken of either."""
     established = v.known  # a rare name near a frequent one is another name
     long = [w for w in words if len(w) > 1]
@@ -345,9 +366,9 @@ def _person_forms(words: list[str], v: Vocabulary) -> list[tuple[str, str, int,
         first = next(w for w in words if len(w) == 1)
         return [("initial", first + long[0], 0, long[0] in established), ("initial", first + long[0], 2, long[0] in established)]
     long = long or words
-    short = next((i for i, w in enumerate(long) if w in v.aliases and len(long) > 1), None)
+    short = next((i for i, w in enumerate(long) if w in aliases and len(long) > 1), None)
     if short is not None:
-        full, other = v.aliases[long[short]], long[:short] + long[short + 1 :]
+        full, other = aliases[long[short]], long[:short] + long[short + 1 :]
         surname, clean = "".join(other), all(w in established for w in other)
         if len(full) == 1:
             return [("", full[0] + surname, 0, clean), ("", surname + full[0], 1, clean), ("initial", full[0][0] + surname, 1, clean)]
@@ -374,8 +395,9 @@ def _former(v: Vocabulary):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out: list[tuple] = []
-            for i, t, w in zip(b.id, b.type, b.words, strict=True):
-                out += [(i, t, *f) for f in forms(t, list(w), v)] if len(w) else []
+            for i, t, w, short, long in zip(b.id, b.type, b.words, b.short, b.long, strict=True):
+                r = None if short is None else {x: tuple(y.split(" ")) for x, y in zip(short, long, strict=True)}
+                out += [(i, t, *f) for f in forms(t, list(w), v, r)] if len(w) else []
                 if len(out) >= 8 * AT_ONCE:  # a short word may have hundreds of readings
                     yield pd.DataFrame(out, columns=["id", "type", "apart", "form", "rank", "clean"])
                     out = []
@@ -533,8 +555,13 @@ def name_groups(rows: DataFrame, key: str = "id", name: str = "name", type_: str
     given = rows.select(F.col(key).cast("string").alias("id"), F.lower(F.trim(F.col(type_), F.lit(" \t\r\n"))).alias("type"), F.col(name).alias("name"))
     given = given.where("id is not null and type is not null and name is not null").distinct()
     words = scratch.cut(given.mapInPandas(_tokenizer, "id string, type string, words array<string>").where("size(words) > 0"))
-    v = learn(words, scratch, nicknames, radius)
-    views = scratch.cut(words.mapInPandas(_former(v), "id string, type string, apart string, form string, rank int, clean boolean"))
+    v, rare = learn(words, scratch, nicknames, radius)
+    said = words.withColumns({c: F.lit(None).cast("array<string>") for c in ("short", "long")})
+    if rare is not None and (rare := scratch.cut(rare)).limit(1).count():
+        own = words.select("id", "type", "words", F.explode(F.array_distinct("words")).alias("w")).join(rare, "w").groupBy("id", "type", "words")
+        own = own.agg(F.collect_list(F.struct("w", F.array_join("meanings", " ").alias("m"))).alias("x"))
+        said = words.join(own.select("id", "type", "words", F.col("x.w").alias("short"), F.col("x.m").alias("long")), ["id", "type", "words"], "left")
+    views = scratch.cut(said.mapInPandas(_former(v), "id string, type string, apart string, form string, rank int, clean boolean"))
     # one row a form: as a target it is someone's own or turned form, as a probe an own form or a guess with a word that isn't established
     kinds = views.groupBy("type", "apart", "form").agg(
         F.bool_or(F.col("rank") < 2).alias("target"), F.bool_and("clean").alias("clean"), F.bool_or((F.col("rank") != 1) & ~F.col("clean")).alias("probe")

@@ -218,6 +218,25 @@ def test_spellings_are_learned_from_the_names(spark):
     assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.98
 
 
+def test_aliases_of_wide_contexts_and_rare_ones_are_learned(spark, monkeypatch):
+    rnd = random.Random(21)
+    firsts, lasts = (["".join(s) for s in {tuple(rnd.sample(SYLLABLES, n)) for _ in range(900)}] for n in (3, 5))
+    firsts, lasts = sorted(firsts)[:80], sorted(lasts)[:400]
+    names_ = [f"{f} {s}" for s in lasts for f in ["Bartholomew", *rnd.sample(firsts, 70)]]  # 71 first names a surname
+    names_ += [f"Winkel {s}" for s in lasts[:120]]
+    words = spark.createDataFrame([("person", names.words_of(x)) for x in names_], "type string, words array<string>")
+    v, rare = names.learn(words, Scratch(spark, "t"))
+    assert "bartholomew" in v.aliases["winkel"] and rare is None
+    monkeypatch.setattr(names, "ALIAS_SHARE", 0.01)  # 285 names
+    w, rare = names.learn(words, Scratch(spark, "t"))
+    assert "winkel" not in w.aliases and {r.w: tuple(r.meanings) for r in rare.collect()}["winkel"] == v.aliases["winkel"]
+    rows, want = learned_corpus()
+    df = spark.createDataFrame(rows, "id string, name string, entity_type string")
+    before = {tuple(r) for r in names.name_groups(df).collect()}
+    monkeypatch.setattr(names, "ALIAS_SHARE", 10.0)  # none through the driver
+    assert {tuple(r) for r in names.name_groups(df).collect()} == before
+
+
 SETS = [
     ("Team", ["Pegaridur Lineage Department", "PegaridurLineageDep't", "Pega-ridur Lineage Deptartment", "Pegaridur Linaege Department (shared)", "Department Pegaridur Lineage"]),
     ("Team", ["Mozigefim Currency Department", "Currency Mozigefim Department", "Currency Mozigefim"]),
